@@ -22,7 +22,7 @@ KIND[[ord(c) for c in '!"#$%&()*+,-./:;=?@[\\]^_`{}~']] = 2
 BORDER = np.zeros(16, bool)
 BORDER[[1, 2, 3, 4, 8, 12, 1 * 4 + 2, 2 * 4 + 1]] = True
 #: Pieces remembered; then the memory starts anew.
-REMEMBER = 1 << 20
+REMEMBER = 1 << 19
 #: New pieces that are encoded as one text.
 GROUP = 512
 
@@ -36,7 +36,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.mask = REMEMBER * 4 - 1
+        self.mask = REMEMBER * 2 - 1
         self.key = np.zeros(self.mask + 1, np.uint64)
         self.slot = np.full(self.mask + 1, -1, np.int32)
         self.n = 0
@@ -167,7 +167,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encode_column(column, path: str, end_id: int | None = 1, limit: int = 4 * tb.CHUNK):
+def encode_column(column, path: str, end_id: int | None = 1, limit: int = tb.CHUNK):
     """Yields (first row, last row, ids, bounds) for slices of a text column."""
     data, offs = tb.buffers(column)
     enc = encoder(path)
