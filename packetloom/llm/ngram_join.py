@@ -273,7 +273,7 @@ WITH w AS (
 ), s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
     WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i+2], ' ')) END) AS g
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) END) AS g
   FROM w
 ), n AS (
   SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id

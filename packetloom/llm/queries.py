@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import ngram_join, packing, token_store
+from . import ngram_join, packing, quality_rank, quality_rules, token_store
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (packing.op1_best_fit_packing, token_store.op5_token_store, ngram_join.op6_ngram_jaccard_join)}
+    return {f.__name__: f for f in (packing.op1_best_fit_packing, token_store.op5_token_store, ngram_join.op6_ngram_jaccard_join, quality_rules.op2_quality_rules, quality_rank.op3_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_jaccard_join": ngram_join.OP6_SQL}
+    return {"op6_ngram_jaccard_join": ngram_join.OP6_SQL, "op2_quality_rules": quality_rules.OP2_SQL}
