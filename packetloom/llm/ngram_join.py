@@ -114,7 +114,7 @@ def _signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     shared.ship(docs.sparkSession)
 
     def run(batches):
-        cuts = Cuts(num, den)
+        cuts, given = Cuts(num, den), set()  # a partition gives the segments of equal sets once
         for batch in batches:
             n, a, b, keys = [], [], [], []
             for _, grams in gram_sets(batch.column(1), k):
@@ -122,7 +122,8 @@ def _signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 x, y = set_hashes(grams)
                 a.append(x)
                 b.append(y)
-                keys.append(segment_keys(grams, cuts) if len(grams) else np.empty(0, np.uint64))
+                keys.append(segment_keys(grams, cuts) if len(grams) and x not in given else np.empty(0, np.uint64))
+                given.add(x)
             size = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
             flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(flat))], ["doc_id", "th", "n_shingles", "s1", "s2", "keys"])
@@ -235,7 +236,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     spark = docs.sparkSession
     signed = shared.stage(_signatures(docs, k, num, den))
     classes = signed.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.coalesce(F.min_by("th", "doc_id"), F.min("th")).alias("th"))
-    segments = signed.select(F.explode("keys").alias("key"), "s1")
+    # dealt once by key; the count of a key's sets and the join back to them both read that shuffle
+    segments = signed.select(F.explode("keys").alias("key"), "s1").repartition("key")
     shown = segments.groupBy("key").agg(F.min("s1").alias("m"), F.max("s1").alias("x")).where("m != x").select("key", "m")
     pairs = segments.join(shown, "key").where("s1 != m").select(F.col("s1").alias("a"), F.col("m").alias("b")).distinct()
     clusters = graph.components(pairs)
