@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import ngram_join, packing, quality_rank, quality_rules, token_store
+from . import decontaminate, line_dedup, ngram_join, packing, quality_rank, quality_rules, token_store
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (packing.op1_best_fit_packing, token_store.op5_token_store, ngram_join.op6_ngram_jaccard_join, quality_rules.op2_quality_rules, quality_rank.op3_quality_classifier)}
+    return {f.__name__: f for f in (packing.op1_best_fit_packing, token_store.op5_token_store, ngram_join.op6_ngram_jaccard_join, quality_rules.op2_quality_rules, quality_rank.op3_quality_classifier, decontaminate.op4_benchmark_decontamination, line_dedup.op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
