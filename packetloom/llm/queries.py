@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, ngram_join, packing, quality_rank, quality_rules, suffix_dedup, token_store
+from . import decontaminate, fuzzy_passages, license_scan, line_dedup, ngram_join, packing, quality_rank, quality_rules, suffix_dedup, token_store
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (packing.op1_best_fit_packing, token_store.op5_token_store, ngram_join.op6_ngram_jaccard_join, quality_rules.op2_quality_rules, quality_rank.op3_quality_classifier, decontaminate.op4_benchmark_decontamination, line_dedup.op9_line_dedup, suffix_dedup.op8_suffix_array_dedup)}
+    return {f.__name__: f for f in (packing.op1_best_fit_packing, token_store.op5_token_store, ngram_join.op6_ngram_jaccard_join, quality_rules.op2_quality_rules, quality_rank.op3_quality_classifier, decontaminate.op4_benchmark_decontamination, line_dedup.op9_line_dedup, suffix_dedup.op8_suffix_array_dedup, fuzzy_passages.op7_substring_dedup, license_scan.op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

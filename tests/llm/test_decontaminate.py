@@ -70,4 +70,5 @@ def test_multi_index_guarantee():
         bits = np.unpackbits(index.prints[i])
         flip = rng.choice(dc.BITS, dc.RADIUS, replace=False)
         bits[flip] ^= 1
-        assert i in index.candidates(np.packbits(bits))
+        found = index.candidates(np.packbits(bits)[None], int(index.size[i]))[1]
+        assert i in found.tolist()
