@@ -60,15 +60,21 @@ class Index:
         self.seen[(self.known >> U64(44)).astype(np.int64)] = True
         prints = [self.fingerprints(x, np.array([0]), np.array([len(x)]))[0] for x in self.grams]
         self.prints = np.array(prints, np.uint8).reshape(len(ids), BITS // 8)
-        bits = np.unpackbits(self.prints, axis=1)
         self.cuts = np.linspace(0, BITS, RADIUS + 2).astype(int)
-        self.blocks: list[dict[bytes, list[int]]] = []
-        for a, b in zip(self.cuts, self.cuts[1:]):
-            table: dict[bytes, list[int]] = {}
-            for i, x in enumerate(bits):
-                if self.size[i]:
-                    table.setdefault(x[a:b].tobytes(), []).append(i)
-            self.blocks.append(table)
+        self.place = np.concatenate([1 << np.arange(n) for n in np.diff(self.cuts)]).astype(np.int64)
+        self.total = np.array([float(self.weights(x)[0].sum()) for x in self.grams])
+        #: For each number of words: its items, and for each block and value the items that have it, as bits.
+        self.groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in np.unique(self.size[self.size > 0]).tolist():
+            items = np.flatnonzero(self.size == size)
+            table = np.zeros((RADIUS + 1, 1 << int(np.diff(self.cuts).max()), len(items)), bool)
+            for i, codes in enumerate(self.codes(self.prints[items])):
+                table[np.arange(RADIUS + 1), codes, i] = True
+            self.groups[size] = items, np.packbits(table, axis=2)
+
+    def codes(self, prints: np.ndarray) -> np.ndarray:
+        """The values of the blocks of fingerprints."""
+        return np.add.reduceat(np.unpackbits(prints, axis=1) * self.place, self.cuts[:-1], axis=1)
 
     def weights(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weight of every shingle, and whether an item has it."""
@@ -99,19 +105,20 @@ class Index:
         shared_weight = float((w[x] * np.minimum(n[x], m[y])).sum())
         return shared_weight / (float((w * n).sum()) + float((v * m).sum()) - shared_weight)
 
-    def candidates(self, print_: np.ndarray) -> list[int]:
-        bits = np.unpackbits(print_)
-        found: set[int] = set()
-        for table, a, b in zip(self.blocks, self.cuts, self.cuts[1:]):
-            found.update(table.get(bits[a:b].tobytes(), ()))
-        ids = np.array(sorted(found), np.int64)
-        if not len(ids):
-            return []
-        return ids[np.bitwise_count(self.prints[ids] ^ print_).sum(1) <= RADIUS].tolist()
+    def candidates(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (fingerprint, item of `size` words) within RADIUS, by way of the blocks."""
+        items, table = self.groups[size]
+        codes = self.codes(prints)
+        met = np.zeros((len(prints), table.shape[2]), np.uint8)
+        for block in range(RADIUS + 1):
+            met |= table[block, codes[:, block]]
+        at, i = np.nonzero(np.unpackbits(met, axis=1, count=len(items)))
+        near = np.bitwise_count(np.ascontiguousarray(prints).view(np.uint64)[at] ^ self.prints.view(np.uint64)[items[i]]).sum(1) <= RADIUS
+        return at[near], items[i[near]]
 
     def scan(self, h: np.ndarray, k: int, g: np.ndarray, w: np.ndarray, has: np.ndarray):
-        """(item, first word, words, similarity) of the best window for every item that a document of
-        word hashes h, k-shingles g leaks."""
+        """(item, first word, words, similarity) of the best (then first) window for every item that a
+        document of word hashes h, k-shingles g leaks."""
         best: dict[int, tuple[float, int, int]] = {}
         hit, whole = (np.concatenate([[0], np.cumsum(x)]) for x in (w * has, w))
         for size in np.unique(self.size[self.k == k]).tolist():
@@ -119,40 +126,26 @@ class Index:
             m = n - k + 1
             if m < 1 or (n < size and n < self.threshold * size):
                 continue
-            start = np.arange(len(h) - n + 1)
-            able = start[hit[start + m] - hit[start] >= self.threshold * (whole[start + m] - whole[start]) - 1e-9]
+            shown, own = hit[m:] - hit[:-m], whole[m:] - whole[:-m]
+            able = np.flatnonzero(shown >= self.threshold * own - 1e-9)
             for x in range(0, len(able), STRIP):
-                own = able[x : x + STRIP]
-                if not len(own):
-                    continue
-                low = own[0]
-                cover = np.unique(own[:, None] + np.arange(m)) if own[-1] - low > STRIP * 4 else None
-                if cover is None:
-                    prints = self.fingerprints(g[low : own[-1] + m], own - low, own - low + m)
-                else:
-                    at = np.searchsorted(cover, own)
-                    prints = self.fingerprints(g[cover], at, at + m)
-                for s, p in zip(own.tolist(), prints):
-                    for item in self.candidates(p):
-                        if min(self.size[item], len(h)) == n and self.k[item] == k:
-                            sim = self.similarity(g[s : s + m], item)
-                            if sim >= self.threshold - 1e-9 and (item not in best or (sim, -s) > (best[item][0], -best[item][1])):
-                                best[item] = (sim, s, n)
+                part = able[x : x + STRIP]
+                cover = np.unique(part[:, None] + np.arange(m))
+                at = np.searchsorted(cover, part)
+                window, item = self.candidates(self.fingerprints(g[cover], at, at + m), size)
+                start = part[window]
+                top = np.minimum(shown[start], self.total[item])
+                bound = top / (own[start] + self.total[item] - top)
+                for j in np.lexsort((start, -bound)).tolist():
+                    i, s = int(item[j]), int(start[j])
+                    if bound[j] < max(self.threshold, best[i][0] if i in best else 0) - 1e-9:
+                        continue  # no better than what is known
+                    sim = self.similarity(g[s : s + m], i)
+                    if sim >= self.threshold - 1e-9 and (i not in best or (round(sim, 9), -s) > (round(best[i][0], 9), -best[i][1])):
+                        best[i] = (sim, s, n)
         return [(i, s, n, sim) for i, (sim, s, n) in sorted(best.items())]
 
 
-def _blocks(words: list[np.ndarray]):
-    """Ranges of items of up to BLOCK_WORDS words."""
-    i = 0
-    while i < len(words):
-        j, n = i + 1, len(words[i])
-        while j < len(words) and n + len(words[j]) <= BLOCK_WORDS:
-            n += len(words[j])
-            j += 1
-        yield i, j
-        i = j
-
-
 def _items(benchmark: DataFrame):
     """Lists of items of a bounded number of words; the driver holds one list at a time."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text")).orderBy("item_id", "text")
