@@ -237,7 +237,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     signed = shared.stage(_signatures(docs, k, num, den))
     classes = signed.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.coalesce(F.min_by("th", "doc_id"), F.min("th")).alias("th"))
     # dealt once by key; the count of a key's sets and the join back to them both read that shuffle
-    segments = signed.select(F.explode("keys").alias("key"), "s1").repartition("key")
+    segments = signed.select(F.explode("keys").alias("key"), "s1").where("key is not null and s1 is not null").repartition("key")
     shown = segments.groupBy("key").agg(F.min("s1").alias("m"), F.max("s1").alias("x")).where("m != x").select("key", "m")
     pairs = segments.join(shown, "key").where("s1 != m").select(F.col("s1").alias("a"), F.col("m").alias("b")).distinct()
     clusters = graph.components(pairs)
@@ -246,7 +246,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     members = clusters.select(F.col("id").alias("s1"), F.col("component").alias("cluster")).join(classes, "s1").withColumn("node", node)
     sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     members = shared.stage(members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("s2", "s1"), F.col("blocks")).cast("int")))
-    texts = members.join(_own(docs).withColumnRenamed("doc_id", "own"), ["th"]).where(F.col("own").eqNullSafe(F.col("rep")))
+    # the members grow with the corpus: one plan at every size
+    texts = members.hint("merge").join(_own(docs).withColumnRenamed("doc_id", "own"), ["th"]).where(F.col("own").eqNullSafe(F.col("rep")))
     linked = shared.stage(_link(_sets(texts, k), num, den))
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
     roots = graph.components(linked.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
