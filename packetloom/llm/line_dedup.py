@@ -6,9 +6,9 @@ Lines are judged on the input: an earlier line counts whether or not it goes its
 than `min_chars` code points are too short to tell boilerplate from chance, they stay and remove nothing.
 
 1. Equal lines become one class, with its earliest place.
-2. Two lines within one edit agree in their first or in their last half (the edit is in one of them).
-   Classes that share no half with another of nearly the same length can't have a partner and go on no
-   further.
+2. Two lines within one edit, cut into blocks, agree in all but one of them.  Classes that share no half
+   with another of nearly the same length can't have a partner and go no further, and neither do those
+   that then share all but one of 24 blocks with no other.
 3. The others emit their deletion neighbourhood as hashes: every variant with one code point deleted,
    and the line itself.  Lines of equal length are one substitution apart exactly if they share a
    variant with the deletion in the same place; lines of lengths n and n + 1 are one deletion apart
@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import shared
 
 MIN_CHARS = 20
+#: Blocks of the second, finer look at which lines may have a partner.
+FINE_BLOCKS = 24
 #: What a line is to a key: it was cut at a given place; it was cut anywhere; it is the shorter line itself.
 SAME_PLACE, LONGER, ITSELF = 0, 1, 2
 
@@ -45,39 +47,54 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return lines.where((F.length("line") >= min_chars) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _halves():
-    """Keys of a line of n code points that another of n or n + 1, and of n or n - 1, would share: the
-    first and the last floor(m / 2) code points for the pair's smaller length m."""
-    n = F.length("line")
-    out = []
-    for m in (n, n - 1):
-        half = F.floor(m / 2).cast("int")
-        for side, part in ((1, F.substring(F.col("line"), F.lit(1), half)), (2, F.substring(F.col("line"), n - half + 1, half))):
-            out.append(F.xxhash64(F.lit(side), m, part))
-    return F.array(*out)
+def _block_keys(blocks: int):
+    """What a line of n code points shares with every other of n or n + 1 (n or n - 1) that is one edit
+    away: for the smaller length m, cut into blocks, all but the block with the edit; the part before it
+    is taken from the line's start, the part behind from its end."""
+    n, line = F.length("line"), F.col("line")
+
+    def key(m):
+        return lambda j: block(m, j)
+
+    def block(m, j):
+        before, behind = F.floor(m * j / blocks).cast("int"), (m - F.floor(m * (j + 1) / blocks)).cast("int")
+        return F.xxhash64(j, m, F.substring(line, F.lit(1), before), F.substring(line, n - behind + 1, behind))
+
+    if blocks <= 4:  # compiled; more would make too large an expression
+        return F.array(*(block(m, F.lit(j)) for m in (n, n - 1) for j in range(blocks)))
+    numbers = F.sequence(F.lit(0), F.lit(blocks - 1))
+    return F.concat(*(F.transform(numbers, key(m)) for m in (n, n - 1)))
+
+
+def _sharing(keyed: DataFrame) -> DataFrame:
+    """h1 of the classes in keyed (h1, keys) that share a key with another; dealt once by key."""
+    keys = keyed.select(F.explode("keys").alias("key"), "h1").where("key is not null and h1 is not null").repartition("key")
+    shown = keys.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x != y").select("key")
+    return keys.join(shown, "key", "left_semi").select("h1").distinct()
 
 
 def verdicts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc, th, drop: the places of the lines that go, for every document that loses some."""
     place = F.struct("doc", "no", "th")
-    seen = _lines(docs, min_chars).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "doc", "no", "th", _halves().alias("halves"))
+    seen = _lines(docs, min_chars).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "doc", "no", "th", _block_keys(2).alias("keys"))
     seen = shared.stage(seen)
-    classes = shared.stage(seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("halves").alias("halves"), F.max(place).alias("last")))
-    keys = classes.select(F.explode("halves").alias("key"), "h1")
-    shown = keys.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x != y").select("key")
-    able = keys.join(shown, "key", "left_semi").select("h1").distinct()
+    classes = shared.stage(seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("keys").alias("keys"), F.max(place).alias("last")))
+    able = _sharing(classes)
     able = classes.join(able, "h1", "left_semi").select("first.doc", "first.no", "first.th", "first", "h1", "h2")
     # the lines themselves, from the documents they come first in
     asked = able.groupBy("doc", "th").agg(F.collect_list(F.struct("no", "h1", "h2", "first")).alias("asked"))
     lines = _rows(docs).join(asked, ["doc", "th"]).withColumn("parts", F.split("text", "\n", -1)).select("parts", F.explode("asked").alias("a"))
     lines = shared.stage(lines.select(F.expr("parts[a.no]").alias("line"), "a.h1", "a.h2", "a.first").dropDuplicates(["h1", "h2"]))
+    lines = shared.stage(lines.join(_sharing(shared.stage(lines.select("h1", _block_keys(FINE_BLOCKS).alias("keys")))), "h1", "left_semi"))
     n = F.length("line")
     cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(F.col("line"), F.lit(1), i - 1), F.substring(F.col("line"), i + 1, n)))
+    # every variant is made and hashed once; both kinds of keys come from that hash
+    variants = lines.withColumn("v", F.transform(cut, lambda v: F.xxhash64(v)))
     tagged = lambda keys, role: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(role).alias("role")))
-    same = tagged(F.transform(cut, lambda v, i: F.xxhash64(F.lit(1), i, v)), SAME_PLACE)
-    longer = tagged(F.array_distinct(F.transform(cut, lambda v: F.xxhash64(F.lit(2), v))), LONGER)
-    itself = tagged(F.array(F.xxhash64(F.lit(2), "line")), ITSELF)
-    emitted = lines.select(F.explode(F.concat(same, longer, itself)).alias("e"), "h1", "h2", "first").select("e.key", "e.role", "h1", "h2", "first")
+    same = tagged(F.transform("v", lambda v, i: F.xxhash64(F.lit(1), i, v)), SAME_PLACE)
+    longer = tagged(F.array_distinct(F.transform("v", lambda v: F.xxhash64(F.lit(2), v))), LONGER)
+    itself = tagged(F.array(F.xxhash64(F.lit(2), F.xxhash64("line"))), ITSELF)
+    emitted = variants.select(F.explode(F.concat(same, longer, itself)).alias("e"), "h1", "h2", "first").select("e.key", "e.role", "h1", "h2", "first")
     w = Window.partitionBy("key")
     met = emitted.withColumn("itself", F.min(F.when(F.col("role") == ITSELF, F.col("first"))).over(w)).withColumn("least", F.min(F.when(F.col("role") != ITSELF, F.col("first"))).over(w))
     partner = F.when(F.col("role") == LONGER, F.col("itself")).otherwise(F.col("least"))
