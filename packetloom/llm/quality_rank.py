@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import quality_rules, shared, textbytes as tb
 
-MAX_LABELLED = 12_000
+MAX_LABELLED = 8_000
 PAIRS = 60_000
 STEPS = 250
 
@@ -114,8 +114,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labell
     rows = chosen.mapInArrow(run, "good int, x binary").limit(max_labelled).collect()
     if not rows:
         return fit(np.zeros((1, WIDTH), np.float32), np.ones(1, bool))
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.float32).reshape(len(rows), WIDTH)
+    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows])
     good = np.array([r["good"] == 1 for r in rows])
+    del rows
     order = np.lexsort((*x[:, ::97].T, good))  # the same fit in whatever order the rows come
     return fit(x[order], good[order])
 
