@@ -110,7 +110,8 @@ def _own(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).alias("th"))
 
 
-def _signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _signatures(docs: DataFrame, k: int, num: int, den: int, with_keys: bool) -> DataFrame:
+    """Each document's number of n-grams and hashes of its set; keys: those of its segments, or null."""
     shared.ship(docs.sparkSession)
 
     def run(batches):
@@ -122,7 +123,7 @@ def _signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 x, y = set_hashes(grams)
                 a.append(x)
                 b.append(y)
-                keys.append(segment_keys(grams, cuts) if len(grams) and x not in given else np.empty(0, np.uint64))
+                keys.append(segment_keys(grams, cuts) if with_keys and len(grams) and x not in given else np.empty(0, np.uint64))
                 given.add(x)
             size = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
             flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
@@ -234,10 +235,11 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links (documents that the document links with) of every row,
     for links of Jaccard similarity num / den or more."""
     spark = docs.sparkSession
-    signed = shared.stage(_signatures(docs, k, num, den))
+    # segments are made in a pass of their own: they go to their shuffle and are never stored besides
+    signed = shared.stage(_signatures(docs, k, num, den, False).drop("keys"))
     classes = signed.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.coalesce(F.min_by("th", "doc_id"), F.min("th")).alias("th"))
     # dealt once by key; the count of a key's sets and the join back to them both read that shuffle
-    segments = signed.select(F.explode("keys").alias("key"), "s1").where("key is not null and s1 is not null").repartition("key")
+    segments = _signatures(docs, k, num, den, True).select(F.explode("keys").alias("key"), "s1").where("key is not null and s1 is not null").repartition("key")
     shown = segments.groupBy("key").agg(F.min("s1").alias("m"), F.max("s1").alias("x")).where("m != x").select("key", "m")
     pairs = segments.join(shown, "key").where("s1 != m").select(F.col("s1").alias("a"), F.col("m").alias("b")).distinct()
     clusters = graph.components(pairs)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -10,6 +11,29 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Folders written inside scope(), until release().
+_held: list[str] | None = None
+_old: list[str] = []
+
+
+@contextlib.contextmanager
+def scope():
+    """Remembers the folders that stage() writes, for release()."""
+    global _held
+    before, _held = _held, []
+    try:
+        yield
+    finally:
+        _old.extend(_held)
+        _held = before
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the folders of all scopes so far; what was made from them must have been written by now."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _old:
+        path = jvm.org.apache.hadoop.fs.Path(_old.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -41,6 +65,8 @@ def stage(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: its lineage ends there, and a lost executor
     costs a re-read, not a recomputation."""
     path = folder(df.sparkSession)
+    if _held is not None:
+        _held.append(path)
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
