@@ -10,7 +10,10 @@ falls into segments, one for each fragment.
    evidence, hence a few spare fragments; a set with more empty segments than that repeats the scheme
    with another n-gram order until it has few.  (At the first order that either of two sets stops at,
    both give segments, and the one that stopped leaves enough that aren't empty: no link is lost.)
-   Segments that only one set has go.  Sets that share segments, directly or by others, form clusters.
+   Segments that only one set has go.  Sets that share a segment are parted by their histograms: n-grams
+   counted in ranges of the order; the counts of two sets differ by no more in all than the sets do, so
+   this loses no link either.  (It keeps passages that many long texts share from tying all of these
+   together.)  Beyond GROUP sets a segment's sets stay together.  What is left forms clusters.
 2. Overlaps.  In a cluster, the n-grams are again cut into fragments; each fragment's partial overlaps
    are counted on their own, for all pairs of a block of sets at once, and summed per pair.  Clusters
    with many sets are cut into blocks and every pair of blocks is a task of bounded size, so pairs are
@@ -38,6 +41,8 @@ from .textbytes import U64
 BLOCK_SETS, BLOCK_GRAMS = 512, 300_000
 #: n-grams in a fragment of the overlap count.
 FRAGMENT = 4096
+#: Sets that share a segment are compared by their histograms up to so many; more stay together.
+GROUP = 256
 
 
 class Cuts:
@@ -104,6 +109,44 @@ def set_hashes(grams: np.ndarray) -> tuple[int, int]:
     return tuple(int(np.int64(np.uint64((tb.mix(tb.mix(grams ^ U64(salt)).sum(keepdims=True) + n))[0]).view(np.int64))) for salt in (0x51ED, 0xA2B7)) if len(grams) else (0, 0)
 
 
+def histogram(grams: np.ndarray) -> bytes:
+    """How many of a set's n-grams lie in each of 2**b equal ranges of the order (15 for more), two to a
+    byte; b grows with the set, four to eight n-grams lie in a range on average."""
+    b = max(3, (len(grams) // 8).bit_length())
+    n = np.minimum(np.bincount((grams >> U64(64 - b)).astype(np.int64), minlength=1 << b), 15).astype(np.uint8)
+    return (n[::2] | (n[1::2] << 4)).tobytes()
+
+
+def differences(histograms: list[bytes]) -> np.ndarray:
+    """For all pairs, a number of n-grams that only one of two sets has, at least."""
+    packed = [np.frombuffer(x, np.uint8) for x in histograms]
+    least = min(len(x) for x in packed)
+    counts = np.empty((len(packed), 2 * least), np.int32)
+    cut = np.empty(len(packed), bool)
+    for i, x in enumerate(packed):
+        both = np.stack([x & 15, x >> 4], 1).reshape(2 * least, -1)
+        counts[i] = both.sum(1)
+        cut[i] = (both == 15).any()
+    out = np.empty((len(packed), len(packed)), np.int64)
+    for i in range(len(packed)):
+        out[i] = np.abs(counts - counts[i]).sum(1)
+    # a range cut off at 15 is only comparable in histograms of as many ranges
+    size = np.array([len(x) for x in packed])
+    out[(cut[:, None] | cut[None, :]) & (size[:, None] != size[None, :])] = 0
+    return out
+
+
+def part_group(s1: np.ndarray, n: np.ndarray, histograms: list[bytes], num: int, den: int) -> np.ndarray:
+    """For each of the sets of one segment the smallest s1 that it may be linked with, also by others."""
+    near = (num + den) * differences(histograms) <= (den - num) * (n[:, None] + n[None, :])
+    label = s1.copy()
+    while True:
+        new = np.where(near, label[None, :], np.iinfo(np.int64).max).min(1)
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _own(docs: DataFrame) -> DataFrame:
     """doc_id, text and the text's hash: what finds a row again, with or without a doc_id."""
     text = F.col("text").cast("string")
@@ -111,25 +154,26 @@ def _own(docs: DataFrame) -> DataFrame:
 
 
 def _signatures(docs: DataFrame, k: int, num: int, den: int, with_keys: bool) -> DataFrame:
-    """Each document's number of n-grams and hashes of its set; keys: those of its segments, or null."""
+    """Each document's number of n-grams and hashes of its set; with_keys: those of its segments, else its histogram."""
     shared.ship(docs.sparkSession)
 
     def run(batches):
         cuts, given = Cuts(num, den), set()  # a partition gives the segments of equal sets once
         for batch in batches:
-            n, a, b, keys = [], [], [], []
+            n, a, b, keys, hist = [], [], [], [], []
             for _, grams in gram_sets(batch.column(1), k):
                 n.append(len(grams))
                 x, y = set_hashes(grams)
                 a.append(x)
                 b.append(y)
                 keys.append(segment_keys(grams, cuts) if with_keys and len(grams) and x not in given else np.empty(0, np.uint64))
+                hist.append(None if with_keys else histogram(grams))
                 given.add(x)
             size = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
             flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(flat))], ["doc_id", "th", "n_shingles", "s1", "s2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(flat)), pa.array(hist, pa.binary())], ["doc_id", "th", "n_shingles", "s1", "s2", "keys", "hist"])
 
-    return _own(docs).mapInArrow(run, "doc_id long, th long, n_shingles long, s1 long, s2 long, keys array<long>")
+    return _own(docs).mapInArrow(run, "doc_id long, th long, n_shingles long, s1 long, s2 long, keys array<long>, hist binary")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -216,6 +260,21 @@ def grouped(batches, keys: tuple[str, ...]):
         yield pa.Table.from_batches(held)
 
 
+def _parted(met: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): every set a of a segment and the b that stands for the part of the segment's sets it is in.
+    met: key, s1, n, hist."""
+
+    def run(batches):
+        for t in grouped(batches, ("key",)):
+            s1 = t.column("s1").to_numpy()
+            root = part_group(s1, t.column("n").to_numpy(), t.column("hist").to_pylist(), num, den)
+            far = root != s1
+            if far.any():
+                yield pa.RecordBatch.from_arrays([pa.array(s1[far]), pa.array(root[far])], ["a", "b"])
+
+    return met.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
 def _link(sets: DataFrame, num: int, den: int) -> DataFrame:
     def run(batches):
         for t in grouped(batches, ("cluster", "i", "j")):
@@ -237,12 +296,18 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     spark = docs.sparkSession
     # segments are made in a pass of their own: they go to their shuffle and are never stored besides
     signed = shared.stage(_signatures(docs, k, num, den, False).drop("keys"))
-    classes = signed.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.coalesce(F.min_by("th", "doc_id"), F.min("th")).alias("th"))
+    classes = signed.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.coalesce(F.min_by("th", "doc_id"), F.min("th")).alias("th"), F.first("hist").alias("hist"))
     # dealt once by key; the count of a key's sets and the join back to them both read that shuffle
     segments = _signatures(docs, k, num, den, True).select(F.explode("keys").alias("key"), "s1").where("key is not null and s1 is not null").repartition("key")
     shown = segments.groupBy("key").agg(F.min("s1").alias("m"), F.max("s1").alias("x")).where("m != x").select("key", "m")
-    pairs = segments.join(shown, "key").where("s1 != m").select(F.col("s1").alias("a"), F.col("m").alias("b")).distinct()
-    clusters = graph.components(pairs)
+    met = shared.stage(segments.join(shown, "key").select("key", "m", "s1").distinct())
+    # of segments that the same sets share, one
+    groups = met.groupBy("key", "m").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("s1")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "s1")).alias("y"))
+    groups = shared.stage(groups.groupBy("m", "c", "x", "y").agg(F.min("key").alias("key")).select("key", "c"))
+    few = met.join(groups.where(F.col("c") <= GROUP), "key").select("key", "s1")
+    many = met.join(groups.where(F.col("c") > GROUP), "key").where("s1 != m").select(F.col("s1").alias("a"), F.col("m").alias("b"))
+    parted = _parted(few.join(classes.select("s1", "n", "hist"), "s1"), num, den)
+    clusters = graph.components(parted.union(many))
     # a class without any doc_id gets a negative number of its own
     node = F.coalesce("rep", F.lit(-1) - F.shiftrightunsigned("s1", 1))
     members = clusters.select(F.col("id").alias("s1"), F.col("component").alias("cluster")).join(classes, "s1").withColumn("node", node)

@@ -94,3 +94,31 @@ def test_components(spark):
 
 def test_empty(spark):
     assert nj.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_histograms_never_exceed_the_difference():
+    rng = np.random.default_rng(1)
+    for _ in range(150):
+        pool = np.unique(rng.integers(0, 1 << 64, int(rng.integers(2, 3000)), dtype=np.uint64))
+        if rng.random() < 0.5:  # crowded ranges, whose counts are cut off
+            pool = np.unique(pool >> np.uint64(int(rng.integers(0, 12))))
+        sets = [np.sort(rng.choice(pool, int(rng.integers(1, len(pool) + 1)), replace=False)) for _ in range(5)]
+        least = nj.differences([nj.histogram(s) for s in sets])
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                assert least[i, j] <= len(np.setxor1d(a, b))
+
+
+def test_shared_passage_does_not_tie(spark, monkeypatch):
+    r = random.Random(11)
+    passage = ["p%d" % i for i in range(60)]
+    rows = []
+    for i in range(300):
+        w = ["u%d" % r.randrange(10**6) for _ in range(r.randrange(60, 200))]
+        rows.append((2 * i, " ".join(w[:30] + passage + w[30:])))
+        if i % 5 == 0:
+            rows.append((2 * i + 1, rows[-1][1] + " more"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for group in (nj.GROUP, 4):
+        monkeypatch.setattr(nj, "GROUP", group)
+        assert sorted(map(tuple, nj.join(df, 5, 8, 10).collect())) == sorted(brute(rows, 5, 8, 10))
