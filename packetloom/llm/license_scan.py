@@ -35,7 +35,8 @@ K, CONTAINMENT = 5, 0.8
 BANDS, ROWS = 64, 2
 BLOCK_WORDS = 500_000
 
-#: The customary one-line and first-paragraph notices of common licenses.
+#: The customary one-line and first-paragraph notices of common licenses, the short Creative
+#: Commons forms, and the further paragraphs of whole license texts (found where the first one is missing).
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("MIT", "Released under the MIT License"),
@@ -53,6 +54,18 @@ TEMPLATES = (
     ("GPL-text", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("Apache-text", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    *((f"CC-{kind}-{version}-short", f"Licensed under CC {kind} {version}") for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for version in ("4.0", "3.0")),
+    ("CC0-1.0-short", "Licensed under CC0 1.0"),
+    ("MIT-text-2", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("MIT-text-3", "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software"),
+    ("ISC-text-2", "The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("BSD-text-2", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("BSD-text-3", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("GPL-text-2", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"),
+    ("GPL-text-3", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
+    ("Apache-text-2", "Terms and conditions for use, reproduction, and distribution"),
+    ("Apache-text-3", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    ("Unlicense-2", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
 )
 
 

@@ -44,3 +44,9 @@ def test_scan(spark):
     want = brute(docs, templates)
     assert got == want and len(want) > 80
     assert ls.scan(df.limit(0)).count() == 0 and ls.scan(df, []).count() == 0
+
+
+def test_short_forms_and_later_paragraphs(spark):
+    docs = [(1, "Some text.\nLicensed under CC BY-NC 4.0.\nMore text."), (2, "licensed under CC BY 4.0"), (3, "Licensed under CC BY-NC-SA 4.0"), (4, "one two three. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. four")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(x.doc_id, x.template) for x in ls.scan(df).collect()} == {(1, "CC-BY-NC-4.0-short"), (2, "CC-BY-4.0-short"), (3, "CC-BY-NC-SA-4.0-short"), (4, "MIT-text-2")}
