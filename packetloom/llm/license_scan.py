@@ -1,4 +1,4 @@
-"""License scans: MinHash bands over overlapping text windows, then exact shingle containment.
+"""License scans: exact shingle containment over overlapping text windows, by an index of the shingles.
 
 Texts are lower-cased and cut into words (letters, digits, code points beyond ASCII), words into shingles
 of five.  A document carries a template if the words of some window hold `containment` (0.8) or more of
@@ -6,12 +6,10 @@ the template's distinct shingles.
 
 1. Windows.  For a template of L words, windows have 2L words and begin every ceil(L / 2) words, so any
    run of 1.5 L words lies in a window whole.  A window without any shingle of a template cannot contain
-   it and is not signed; neither is the text between (this loses nothing).
-2. Signed windows get BANDS bands of ROWS MinHash values.  A window that contains 0.8 of its template has
-   a Jaccard similarity of 0.36 or more to it (2L words at most), and so shares a band with probability
-   1 - (1 - 0.36 ** ROWS) ** BANDS: above 0.9999 for 2 rows and 64 bands.
-3. Candidates are verified by exact containment; the place given is that of the template's shingles in
-   the window with the highest containment (the first of equals).
+   it and is not looked at; neither is the text between (this loses nothing).
+2. The templates' shingles are indexed, and each window's distinct shingles of a template are counted
+   exactly; no window that holds `containment` is left to chance.  The place given is that of the
+   template's shingles in the window with the highest containment (the first of equals).
 
 Templates with fewer words than five are one shingle.  The template table is cut into blocks of at most
 BLOCK_WORDS words, one pass over the documents for each.
@@ -32,7 +30,6 @@ from . import shared, textbytes as tb
 from .textbytes import U64
 
 K, CONTAINMENT = 5, 0.8
-BANDS, ROWS = 64, 2
 BLOCK_WORDS = 500_000
 
 #: The customary one-line and first-paragraph notices of common licenses, the short Creative
@@ -72,34 +69,23 @@ TEMPLATES = (
 class Templates:
     """The templates of one pass."""
 
-    def __init__(self, names: list[str], texts: list[str], containment: float = CONTAINMENT, bands: int = BANDS, rows: int = ROWS):
+    def __init__(self, names: list[str], texts: list[str], containment: float = CONTAINMENT):
         data, offs = tb.buffers(pa.array([t.lower() for t in texts], pa.string()))
         _, _, row, h = tb.words(data, offs, tb.NOT_WORD)
         at = tb.row_starts(row, len(texts))
-        self.names, self.containment, self.bands, self.rows = names, containment, bands, rows
+        self.names, self.containment = names, containment
         self.size = np.diff(at)
         self.k = np.minimum(self.size, K)
         cut = lambda w, k: np.unique(tb.shingles(w, np.zeros(len(w), np.int64), int(k))[0]) if k else np.empty(0, np.uint64)
         self.grams = [cut(h[a:b], k) for a, b, k in zip(at, at[1:], self.k)]
-        self.salts = np.random.default_rng(11).integers(1, 1 << 63, bands * rows, dtype=np.uint64)
         self.known = np.unique(np.concatenate([*self.grams, np.empty(0, np.uint64)]))
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.known >> U64(44)).astype(np.int64)] = True
-        self.table: dict[tuple[int, int], list[int]] = {}
-        for i, g in enumerate(self.grams):
-            if len(g):
-                for b, x in enumerate(self.sign(g).tolist()):
-                    self.table.setdefault((b, x), []).append(i)
         self.holders: dict[int, list[int]] = {}
         for i, g in enumerate(self.grams):
             for x in g.tolist():
                 self.holders.setdefault(x, []).append(i)
 
-    def sign(self, g: np.ndarray) -> np.ndarray:
-        """A hash for each band."""
-        low = tb.mix(g[:, None] ^ self.salts[None, :]).min(0).reshape(self.bands, self.rows)
-        return tb.shingles(low.ravel(), np.zeros(low.size, np.int64), self.rows)[0][:: self.rows]
-
     def hits(self, g: np.ndarray) -> np.ndarray:
         maybe = np.flatnonzero(self.seen[(g >> U64(44)).astype(np.int64)])
         if not len(maybe) or not len(self.known):
@@ -114,22 +100,15 @@ class Templates:
             for i in self.holders[int(g[p])]:
                 if self.k[i] == k:
                     able.setdefault(i, []).append(p)
-        signed: dict[tuple[int, int], set[int]] = {}
         for i, at in sorted(able.items()):
             size = int(self.size[i])
             step, wide = math.ceil(size / 2), 2 * size - k + 1
             best = None
             for w in sorted({x * step for p in at for x in range(max(0, -(-(p - wide + 1) // step)), p // step + 1)}):
                 own = [p for p in at if w <= p < w + wide]
-                if len({int(g[p]) for p in own}) < self.containment * len(self.grams[i]) - 1e-9:
-                    continue  # the exact containment is known to be lower
-                if (w, wide) not in signed:
-                    keys = self.sign(np.unique(g[w : w + wide])).tolist()
-                    signed[w, wide] = {j for b, x in enumerate(keys) for j in self.table.get((b, x), ())}
-                if i in signed[w, wide]:
-                    share = len(np.intersect1d(g[w : w + wide], self.grams[i])) / len(self.grams[i])
-                    if share >= self.containment - 1e-9 and (best is None or share > best[2]):
-                        best = (own[0], own[-1] + k - own[0], share)
+                share = len({int(g[p]) for p in own}) / len(self.grams[i])
+                if share >= self.containment - 1e-9 and (best is None or share > best[2]):
+                    best = (own[0], own[-1] + k - own[0], share)
             if best:
                 yield (i, *best)
 

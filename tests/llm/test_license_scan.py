@@ -50,3 +50,11 @@ def test_short_forms_and_later_paragraphs(spark):
     docs = [(1, "Some text.\nLicensed under CC BY-NC 4.0.\nMore text."), (2, "licensed under CC BY 4.0"), (3, "Licensed under CC BY-NC-SA 4.0"), (4, "one two three. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. four")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {(x.doc_id, x.template) for x in ls.scan(df).collect()} == {(1, "CC-BY-NC-4.0-short"), (2, "CC-BY-4.0-short"), (3, "CC-BY-NC-SA-4.0-short"), (4, "MIT-text-2")}
+
+
+def test_short_templates_are_never_missed(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    # at the start of a text, where one window holds it
+    df = spark.createDataFrame([(i, " ".join(["Released under the MIT License", *(word() for _ in range(30))])) for i in range(300)], "doc_id long, text string")
+    assert {x.doc_id for x in ls.scan(df).collect()} == set(range(300))
