@@ -3,7 +3,9 @@
 A line goes when a line that comes earlier in the corpus (by doc_id, then place in the text) is equal or
 within one edit (insertion, deletion or substitution of a code point).  The earliest of its kind stays.
 Lines are judged on the input: an earlier line counts whether or not it goes itself.  Lines of fewer
-than `min_chars` code points are too short to tell boilerplate from chance, they stay and remove nothing.
+than MIN_CHARS code points go only if they equal an earlier one: within one edit, such short lines are
+mostly different words.  Where `min_chars` is given, it takes the place of MIN_CHARS, and shorter lines
+stay and remove nothing.  Lines of white space alone always stay.
 
 1. Equal lines become one class, with its earliest place.
 2. Two lines within one edit, cut into blocks, agree in all but one of them.  Classes that share no half
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import shared
 
+#: Code points of a line that an earlier one within one edit removes.
 MIN_CHARS = 20
 #: Blocks of the second, finer look at which lines may have a partner.
 FINE_BLOCKS = 24
@@ -73,10 +76,12 @@ def _sharing(keyed: DataFrame) -> DataFrame:
     return keys.join(shown, "key", "left_semi").select("h1").distinct()
 
 
-def verdicts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def verdicts(docs: DataFrame, min_chars: int | None = None) -> DataFrame:
     """doc, th, drop: the places of the lines that go, for every document that loses some."""
     place = F.struct("doc", "no", "th")
-    seen = _lines(docs, min_chars).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "doc", "no", "th", _block_keys(2).alias("keys"))
+    # lines without keys meet equal ones only
+    keys = F.when(F.length("line") >= (MIN_CHARS if min_chars is None else min_chars), _block_keys(2))
+    seen = _lines(docs, min_chars or 1).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "doc", "no", "th", keys.alias("keys"))
     seen = shared.stage(seen)
     classes = shared.stage(seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("keys").alias("keys"), F.max(place).alias("last")))
     able = _sharing(classes)
@@ -108,7 +113,7 @@ def verdicts(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return out.groupBy("doc", "th").agg(F.sort_array(F.collect_set("no")).alias("drop"))
 
 
-def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, min_chars: int | None = None) -> DataFrame:
     """All rows and columns of docs, with the lines that go taken out of text; and n_lines (lines with a
     word before that) and n_removed, under the names _n_lines and _n_removed."""
     text = F.col("text").cast("string")

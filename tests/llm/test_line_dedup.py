@@ -53,3 +53,10 @@ def test_native_and_empty(spark):
     assert "Python" not in plan and "Arrow" not in plan
     repeated = df.union(df.where("doc_id is null"))
     assert repeated.count() == ld.dedup(repeated).count() and F is not None
+
+
+def test_short_lines_that_repeat(spark):
+    rows = [(1, "And ornd.\nA first line that is long enough\n \nx"), (2, "And ornd.\nAnd orns.\n \nx\nAnd ornd."), (3, "A first line that is long enoug\nAnd orns.")]
+    got = {x.doc_id: (x.text, x._n_removed) for x in ld.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # equal ones go at every length, near ones only from MIN_CHARS on
+    assert got == {1: (rows[0][1], 0), 2: ("And orns.\n ", 3), 3: ("", 2)}
