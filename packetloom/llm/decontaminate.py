@@ -15,7 +15,7 @@ document, where it is shorter) has a weighted multiset Jaccard similarity of `th
 
 Items with fewer words than five are one shingle; items without words match nothing.  Items are sent
 out in blocks of at most BLOCK_WORDS words, one pass over the documents for each, so what is broadcast
-is bounded whatever the benchmark's size.
+is bounded whatever the benchmark's size.  N and n are counted over all blocks.
 
 Nulls: null texts have no words; null doc_ids and item_ids are kept as null.  Repeated rows and items
 each give their rows; empty tables give none.  Other columns are ignored.
@@ -146,9 +146,34 @@ class Index:
         return [(i, s, n, sim) for i, (sim, s, n) in sorted(best.items())]
 
 
+def _own(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+
+
+def _counts(words: list[np.ndarray]) -> dict[int, int]:
+    """How many of the items have each shingle."""
+    counts: dict[int, int] = {}
+    for x in words:
+        k = min(len(x), K)
+        for g in set(tb.shingles(x, np.zeros(len(x), np.int64), k)[0].tolist()) if k else ():
+            counts[g] = counts.get(g, 0) + 1
+    return counts
+
+
+def _all_counts(benchmark: DataFrame) -> DataFrame:
+    """gram, n: the shingles that several items have, over the whole benchmark."""
+
+    def count(batches):
+        for batch in batches:
+            got = _counts(item_words(batch.column(batch.schema.get_field_index("text")).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(got), np.uint64).view(np.int64)), pa.array(list(got.values()), pa.int64())], ["gram", "n"])
+
+    return shared.stage(_own(benchmark).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1"))
+
+
 def _items(benchmark: DataFrame):
-    """Lists of items of a bounded number of words; the driver holds one list at a time."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text")).orderBy("item_id", "text")
+    """Lists of items of a bounded number of words; the driver holds two lists at a time."""
+    rows = _own(benchmark).orderBy("item_id", "text")
     ids, texts, size = [], [], 0
     for r in rows.toLocalIterator():
         if ids and size + len(r["text"]) > 4 * BLOCK_WORDS:
@@ -168,15 +193,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     kind = "doc_id long, item_id long, first_word long, n_words long, similarity double"
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
     out = None
-    for ids, texts in _items(benchmark):
+    blocks = _items(benchmark)
+    block, after = next(blocks, None), next(blocks, None)
+    several = _all_counts(benchmark) if after else None
+    total = benchmark.count() if after else len(block[0]) if block else 0
+    while block:
+        ids, texts = block
+        block, after = after, next(blocks, None)
         words = item_words(texts)
-        counts: dict[int, int] = {}
-        for x in words:
-            k = min(len(x), K)
-            for g in set(tb.shingles(x, np.zeros(len(x), np.int64), k)[0].tolist()) if k else ():
-                counts[g] = counts.get(g, 0) + 1
-        weight = {g: float(np.log(1 + len(ids) / n)) for g, n in counts.items()}
-        unknown = float(np.log(1 + len(ids)))
+        counts = _counts(words)
+        if several is not None:
+            grams = spark.createDataFrame(pa.table({"gram": np.array(list(counts), np.uint64).view(np.int64)}))
+            for r in several.join(grams, "gram").toLocalIterator():
+                counts[r["gram"] % (1 << 64)] = r["n"]
+        weight = {g: float(np.log(1 + total / n)) for g, n in counts.items()}
+        unknown = float(np.log(1 + total))
         send = spark.sparkContext.broadcast((ids, words, weight, unknown, threshold))
 
         def run(batches, send=send):

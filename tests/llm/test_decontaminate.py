@@ -72,3 +72,19 @@ def test_multi_index_guarantee():
         bits[flip] ^= 1
         found = index.candidates(np.packbits(bits)[None], int(index.size[i]))[1]
         assert i in found.tolist()
+
+
+def test_weights_are_of_the_whole_benchmark(spark, monkeypatch):
+    r = random.Random(4)
+    vocab = ["w%d" % i for i in range(200)]
+    often = [r.choice(vocab) for _ in range(12)]
+    items = [(i, " ".join([*often, *(r.choice(vocab) for _ in range(24))]) if i % 2 else " ".join(r.choice(vocab) for _ in range(30))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        x = r.choice(items)[1].split()
+        x[r.choice((0, 11, len(x) - 1))] = "changed"
+        docs.append((i, " ".join([*(r.choice(vocab) for _ in range(20)), *x])))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(dc, "BLOCK_WORDS", 60)
+    want = brute(docs, items)
+    assert {(x.doc_id, x.item_id): x.similarity for x in dc.leaks(d, b).collect()} == want and len(want) > 20
