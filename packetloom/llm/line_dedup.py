@@ -9,14 +9,16 @@ stay and remove nothing.  Lines of white space alone always stay.
 
 1. Equal lines become one class, with its earliest place.
 2. Two lines within one edit, cut into blocks, agree in all but one of them.  Classes that share no half
-   with another of nearly the same length can't have a partner and go no further, and neither do those
-   that then share all but one of 24 blocks with no other.
-3. The others emit their deletion neighbourhood as hashes: every variant with one code point deleted,
-   and the line itself.  Lines of equal length are one substitution apart exactly if they share a
-   variant with the deletion in the same place; lines of lengths n and n + 1 are one deletion apart
-   exactly if a variant of the longer is the shorter.  So all that share a key are within one edit of
-   each other (or of the line itself), and a minimum per key finds the earliest partner; groups are
-   never paired up.
+   with another of nearly the same length can't have a partner and go no further.  The others are cut
+   into FINE_BLOCKS blocks, or as many as keep a block within BLOCK_CHARS code points; a key is the hash of
+   all blocks but one, so lines that share a key can differ in that one block only.
+3. For each key that it shares, a line emits the deletion neighbourhood of the block left out: every
+   variant with one code point deleted, and the block itself, hashed with the key.  Blocks of equal length
+   are one substitution apart exactly if they share a variant with the deletion in the same place; blocks
+   of lengths n and n + 1 are one deletion apart exactly if a variant of the longer is the shorter.  So
+   all that share a variant are within one edit of each other (or of the line itself), and a minimum per
+   variant finds the earliest partner; groups are never paired up.  A line's variants take memory in
+   proportion to its shared blocks, however long it is.
 4. The edit distance to that partner is verified.
 
 Nulls: a null text stays null; a null doc_id comes before all others.  Rows with equal doc_id and text
@@ -34,6 +36,8 @@ from . import shared
 MIN_CHARS = 20
 #: Blocks of the second, finer look at which lines may have a partner.
 FINE_BLOCKS = 24
+#: Code points of a block, at most, in that look.
+BLOCK_CHARS = 256
 #: What a line is to a key: it was cut at a given place; it was cut anywhere; it is the shorter line itself.
 SAME_PLACE, LONGER, ITSELF = 0, 1, 2
 
@@ -50,62 +54,128 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return lines.where((F.length("line") >= min_chars) & F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _block_keys(blocks: int):
+def _half_keys():
     """What a line of n code points shares with every other of n or n + 1 (n or n - 1) that is one edit
-    away: for the smaller length m, cut into blocks, all but the block with the edit; the part before it
-    is taken from the line's start, the part behind from its end."""
+    away: for the smaller length m, the first or the last half."""
     n, line = F.length("line"), F.col("line")
 
-    def key(m):
-        return lambda j: block(m, j)
+    def half(m, j):
+        before, behind = F.floor(m * j / 2).cast("int"), (m - F.floor(m * (j + 1) / 2)).cast("int")
+        return F.xxhash64(F.lit(j), m, F.substring(line, F.lit(1), before), F.substring(line, n - behind + 1, behind))
 
-    def block(m, j):
-        before, behind = F.floor(m * j / blocks).cast("int"), (m - F.floor(m * (j + 1) / blocks)).cast("int")
-        return F.xxhash64(j, m, F.substring(line, F.lit(1), before), F.substring(line, n - behind + 1, behind))
+    return F.array(*(half(m, j) for m in (n, n - 1) for j in range(2)))
 
-    if blocks <= 4:  # compiled; more would make too large an expression
-        return F.array(*(block(m, F.lit(j)) for m in (n, n - 1) for j in range(blocks)))
-    numbers = F.sequence(F.lit(0), F.lit(blocks - 1))
-    return F.concat(*(F.transform(numbers, key(m)) for m in (n, n - 1)))
+
+#: Code points of the lines that are cut into FINE_BLOCKS blocks; longer ones have blocks of BLOCK_CHARS.
+FINE_CHARS = FINE_BLOCKS * BLOCK_CHARS
+
+
+def _chunks(text):
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK_CHARS), F.lit(0))
+
+
+def _edge(m, j):
+    """Where block j of m code points begins."""
+    return F.when(m <= FINE_CHARS, F.floor(m * j / FINE_BLOCKS).cast("int")).otherwise(F.least(j * BLOCK_CHARS, m))
+
+
+def _fine_keys():
+    """(key, shorter, block) for every block of both cuts of a line of n code points: its own length's and,
+    with shorter = 1, that of one code point less.  The blocks before are taken from the line's start,
+    those behind from its end."""
+    n, line = F.col("n"), F.col("line")
+
+    def whole(m):  # hashes of all before and all behind
+        def key(j):
+            return F.xxhash64(j, m, F.substring(line, F.lit(1), _edge(m, j)), F.substring(line, n - m + _edge(m, j + 1) + 1, m))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(FINE_BLOCKS - 1)), key)
+
+    def by_block(m):  # the same for long lines: each block is hashed once from both ends
+        hashed = lambda start: F.transform(_chunks(F.substring(line, start, m)), lambda c: F.xxhash64(c))
+        both = F.array(F.struct(hashed(F.lit(1)).alias("x"), hashed(n - m + 1).alias("y")))  # made once for all keys
+        return F.flatten(F.transform(both, lambda b: F.transform(b["x"], lambda _, j: F.xxhash64(j, m, F.slice(b["x"], F.lit(1), j), F.slice(b["y"], j + 2, m)))))
+
+    def keys(m, shorter):
+        got = F.when(m <= FINE_CHARS, whole(m)).otherwise(by_block(m))
+        return F.transform(got, lambda k, j: F.struct(k.alias("key"), F.lit(shorter).alias("shorter"), j.alias("block")))
+
+    return F.concat(keys(n, 0), keys(n - 1, 1))
 
 
 def _sharing(keyed: DataFrame) -> DataFrame:
-    """h1 of the classes in keyed (h1, keys) that share a key with another; dealt once by key."""
-    keys = keyed.select(F.explode("keys").alias("key"), "h1").where("key is not null and h1 is not null").repartition("key")
+    """The rows of keyed (key, h1, ...) whose key another h1 has too; dealt once by key."""
+    keys = keyed.where("key is not null and h1 is not null").repartition("key")
     shown = keys.groupBy("key").agg(F.min("h1").alias("x"), F.max("h1").alias("y")).where("x != y").select("key")
-    return keys.join(shown, "key", "left_semi").select("h1").distinct()
+    return keys.join(shown, "key", "left_semi")
+
+
+def _variants():
+    """(key, role) of the deletion neighbourhood of all blocks in `asked`."""
+    n, line = F.col("n"), F.col("line")
+
+    def of(a):
+        m, shorter = n - a["shorter"], a["shorter"]
+        start = _edge(m, a["block"])
+        size = _edge(m, a["block"] + 1) - start + shorter
+        tag = lambda key, role: F.struct(key.alias("key"), F.lit(role).alias("role"))
+
+        def made(b):
+            text, key = b["text"], b["key"]
+            places = F.filter(F.sequence(F.lit(1), F.greatest(b["size"], F.lit(1))), lambda i: i <= b["size"])
+            cut = F.transform(places, lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, b["size"])))
+            same = F.transform(cut, lambda v, i: tag(F.xxhash64(F.lit(1), key, i, v), SAME_PLACE))
+            longer = F.transform(F.array_distinct(cut), lambda v: tag(F.xxhash64(F.lit(2), key, v), LONGER))
+            itself = F.array(tag(F.xxhash64(F.lit(2), key, text), ITSELF))
+            return F.when(b["shorter"] == 1, longer).otherwise(F.concat(same, itself))
+
+        block = F.struct(F.substring(line, start + 1, size).alias("text"), size.alias("size"), a["key"].alias("key"), shorter.alias("shorter"))
+        return F.flatten(F.transform(F.array(block), made))  # the block is cut out once
+
+    return F.flatten(F.transform("asked", of))
+
+
+def _within_one(checked: DataFrame) -> DataFrame:
+    """The rows whose `line` and `before` are one edit apart or less.  Of long lines, what is equal before
+    and behind is taken off first, in whole chunks, as the distance of long texts is slow to compute."""
+
+    def equal(x, y):  # how many leading chunks are
+        same = F.zip_with(_chunks(x), _chunks(y), lambda a, b: F.coalesce(a == b, F.lit(False)))
+        return F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.size(same)).cast("int") * BLOCK_CHARS
+
+    line, before = F.col("line"), F.col("before")
+    long = F.least(F.length(line), F.length(before)) > 4 * BLOCK_CHARS
+    rows = checked.withColumn("head", F.when(long, equal(line, before)).otherwise(0)).withColumn("tail", F.when(long, equal(F.reverse(line), F.reverse(before))).otherwise(0))
+    rows = rows.withColumn("head", F.least(F.col("head"), F.length(line), F.length(before)))
+    rows = rows.withColumn("tail", F.least(F.col("tail"), F.length(line) - F.col("head"), F.length(before) - F.col("head")))
+    rest = lambda c: F.substring(c, F.col("head") + 1, F.length(c) - F.col("head") - F.col("tail"))
+    return rows.where(F.levenshtein(rest(line), rest(before), 1) >= 0)
 
 
 def verdicts(docs: DataFrame, min_chars: int | None = None) -> DataFrame:
     """doc, th, drop: the places of the lines that go, for every document that loses some."""
     place = F.struct("doc", "no", "th")
     # lines without keys meet equal ones only
-    keys = F.when(F.length("line") >= (MIN_CHARS if min_chars is None else min_chars), _block_keys(2))
+    keys = F.when(F.length("line") >= (MIN_CHARS if min_chars is None else min_chars), _half_keys())
     seen = _lines(docs, min_chars or 1).select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "doc", "no", "th", keys.alias("keys"))
     seen = shared.stage(seen)
     classes = shared.stage(seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.first("keys").alias("keys"), F.max(place).alias("last")))
-    able = _sharing(classes)
+    able = _sharing(classes.select(F.explode("keys").alias("key"), "h1")).select("h1").distinct()
     able = classes.join(able, "h1", "left_semi").select("first.doc", "first.no", "first.th", "first", "h1", "h2")
     # the lines themselves, from the documents they come first in
     asked = able.groupBy("doc", "th").agg(F.collect_list(F.struct("no", "h1", "h2", "first")).alias("asked"))
     lines = _rows(docs).join(asked, ["doc", "th"]).withColumn("parts", F.split("text", "\n", -1)).select("parts", F.explode("asked").alias("a"))
-    lines = shared.stage(lines.select(F.expr("parts[a.no]").alias("line"), "a.h1", "a.h2", "a.first").dropDuplicates(["h1", "h2"]))
-    lines = shared.stage(lines.join(_sharing(shared.stage(lines.select("h1", _block_keys(FINE_BLOCKS).alias("keys")))), "h1", "left_semi"))
-    n = F.length("line")
-    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(F.col("line"), F.lit(1), i - 1), F.substring(F.col("line"), i + 1, n)))
-    # every variant is made and hashed once; both kinds of keys come from that hash
-    variants = lines.withColumn("v", F.transform(cut, lambda v: F.xxhash64(v)))
-    tagged = lambda keys, role: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(role).alias("role")))
-    same = tagged(F.transform("v", lambda v, i: F.xxhash64(F.lit(1), i, v)), SAME_PLACE)
-    longer = tagged(F.array_distinct(F.transform("v", lambda v: F.xxhash64(F.lit(2), v))), LONGER)
-    itself = tagged(F.array(F.xxhash64(F.lit(2), F.xxhash64("line"))), ITSELF)
-    emitted = variants.select(F.explode(F.concat(same, longer, itself)).alias("e"), "h1", "h2", "first").select("e.key", "e.role", "h1", "h2", "first")
+    lines = shared.stage(lines.select(F.expr("parts[a.no]").alias("line"), "a.h1", "a.h2", "a.first").dropDuplicates(["h1", "h2"]).withColumn("n", F.length("line")))
+    fine = _sharing(lines.select("h1", F.explode(_fine_keys()).alias("k")).select("k.*", "h1"))
+    fine = fine.groupBy("h1").agg(F.collect_list(F.struct("key", "shorter", "block")).alias("asked"))
+    lines = shared.stage(lines.join(fine, "h1"))
+    emitted = lines.select(F.explode(_variants()).alias("e"), "h1", "h2", "first").select("e.key", "e.role", "h1", "h2", "first")
     w = Window.partitionBy("key")
     met = emitted.withColumn("itself", F.min(F.when(F.col("role") == ITSELF, F.col("first"))).over(w)).withColumn("least", F.min(F.when(F.col("role") != ITSELF, F.col("first"))).over(w))
     partner = F.when(F.col("role") == LONGER, F.col("itself")).otherwise(F.col("least"))
     found = met.select("h1", "h2", "first", partner.alias("partner")).where("partner < first").distinct()
     at = lines.select(F.col("first").alias("partner"), F.col("line").alias("before"))
-    checked = found.join(lines.select("h1", "h2", "line"), ["h1", "h2"]).join(at, "partner").where(F.levenshtein("line", "before", 1) >= 0)
+    checked = _within_one(found.join(lines.select("h1", "h2", "line"), ["h1", "h2"]).join(at, "partner"))
     late = shared.stage(checked.select("h1", "h2").distinct().withColumn("late", F.lit(True)))
     # equal lines after the first, and all of a class that comes after its partner
     gone = classes.where("first < last").select("h1", "h2", "first").join(late, ["h1", "h2"], "full").select("h1", "h2", "first", "late")
@@ -113,22 +183,32 @@ def verdicts(docs: DataFrame, min_chars: int | None = None) -> DataFrame:
     return out.groupBy("doc", "th").agg(F.sort_array(F.collect_set("no")).alias("drop"))
 
 
-def dedup(docs: DataFrame, min_chars: int | None = None) -> DataFrame:
-    """All rows and columns of docs, with the lines that go taken out of text; and n_lines (lines with a
-    word before that) and n_removed, under the names _n_lines and _n_removed."""
+def dedup(docs: DataFrame, min_chars: int | None = None, names: tuple[str, str] | None = None) -> DataFrame:
+    """All rows and columns of docs, with the lines that go taken out of text; and the number of lines with
+    a word before that, and of lines taken out, under `names` (none of them a column of docs), or else
+    _n_lines and _n_removed with as many underscores behind as make them new."""
     text = F.col("text").cast("string")
-    own = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_th": F.xxhash64(text)})
-    gone = verdicts(docs, min_chars).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("drop").alias("_drop"))
+    lines, removed = names or shared.fresh(docs, "n_lines", "n_removed")
+    doc, th, drop = shared.fresh(docs, "doc", "th", "drop")
+    own = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), th: F.xxhash64(text)})
+    gone = verdicts(docs, min_chars).select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("drop").alias(drop))
     parts = F.split(text, "\n", -1)
     worded = F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    left = F.filter(parts, lambda x, i: ~F.array_contains(F.col("_drop"), i))
-    out = own.join(gone, ["_doc", "_th"], "left").withColumns({
-        "_n_lines": F.when(text.isNull(), 0).otherwise(worded).cast("long"),
-        "_n_removed": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
-        "text": F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(left, "\n")),
+
+    def left(b):  # the runs of lines between those that go
+        def run(k):
+            start = F.coalesce(F.get(b["drop"], k - 1) + 1, F.lit(0))
+            return F.slice(b["parts"], start + 1, F.coalesce(F.get(b["drop"], k), F.size(b["parts"])) - start)
+
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(b["drop"])), run)), "\n")
+
+    out = own.join(gone, [doc, th], "left").withColumns({
+        lines: F.when(text.isNull(), 0).otherwise(worded).cast("long"),
+        removed: F.coalesce(F.size(drop), F.lit(0)).cast("long"),
+        "text": F.when(F.col(drop).isNull(), text).otherwise(F.get(F.transform(F.array(F.struct(parts.alias("parts"), F.col(drop).alias("drop"))), left), F.lit(0))),
     })
-    return out.select(*docs.columns, "_n_lines", "_n_removed")
+    return out.select(*shared.columns(docs), lines, removed)
 
 
 def op9_line_dedup(spark, sf_dir) -> DataFrame:
-    return dedup(shared.documents(spark, sf_dir)).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
+    return dedup(shared.documents(spark, sf_dir), names=("n_lines", "n_removed")).select("doc_id", "n_lines", "n_removed", "text")

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import quality_rules, shared, textbytes as tb
 
@@ -121,19 +121,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labell
     return fit(x[order], good[order])
 
 
-def score(docs: DataFrame, model: dict, keep: bool = False) -> DataFrame:
-    """doc_id and score of every row; with keep, all columns and score under the name _score."""
+def score(docs: DataFrame, model: dict, keep: str | None = None) -> DataFrame:
+    """doc_id and score of every row; with keep, all columns of docs and the score under that name, which
+    none of them may have."""
     shared.ship(docs.sparkSession)
-    name = "_score" if keep else "score"
+    name, (whole,) = keep or "score", shared.fresh(docs, "text")
     own = docs if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = own.withColumn("_text", F.col("text").cast("string"))
+    own = own.withColumn(whole, F.col("text").cast("string"))
     own = own if keep else own.drop("text")
-    held = [f for f in own.schema if f.name != "_text"]
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held) + f", {name} double"
+    held = [f for f in own.schema if f.name != whole]
+    kind = T.StructType([*(T.StructField(f.name, f.dataType) for f in held), T.StructField(name, T.DoubleType())])
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("_text")
+            at = batch.schema.get_field_index(whole)
             data, offs = tb.buffers(batch.column(at))
             got = [predict(model, features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])) for i, j in tb.row_slices(offs)]
             cols = [batch.column(k) for k in range(batch.num_columns) if k != at]

@@ -8,6 +8,7 @@ bounded by the slice or by the longest single text, whichever is larger.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,9 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes of text that are looked at together.
 CHUNK = 1 << 20
+#: Words and lines of so many bytes are hashed by BLAKE2b.  A polynomial modulo 2**64 has texts of 1,024
+#: bytes (Thue-Morse sequences) that are equal for every base and code; of so few bytes there are none.
+LONG = 256
 
 _rng = np.random.default_rng(20240607)
 #: A random odd 64-bit number for every byte value, and the base of the polynomial.
@@ -98,6 +102,16 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * U64(0x9E3779B97F4A7C15))
 
 
+def content_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes [start, end), safe at any length."""
+    h = span_hash(prefix_hash(BYTE_CODE[data]), start, end)
+    if len(long := np.flatnonzero(end - start >= LONG)):
+        raw = memoryview(data.tobytes())
+        digests = [hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(start[long].tolist(), end[long].tolist())]
+        h[long] = np.frombuffer(b"".join(digests), np.uint64)
+    return h
+
+
 def words(data: np.ndarray, offs: np.ndarray, parts: np.ndarray = WHITE, fold: np.ndarray = SAME):
     """(first byte, end byte, row, 64-bit hash) of every word, in order.  Words are runs of bytes for
     which `parts` is false within one row; the hash is of the bytes as `fold` maps them."""
@@ -114,7 +128,7 @@ def words(data: np.ndarray, offs: np.ndarray, parts: np.ndarray = WHITE, fold: n
     last[rows[1:] - 1] = inside[rows[1:] - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     row = np.searchsorted(offs, start, "right") - 1
-    return start, end, row, span_hash(prefix_hash(BYTE_CODE[fold[data]]), start, end)
+    return start, end, row, content_hash(fold[data], start, end)
 
 
 def shingles(h: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

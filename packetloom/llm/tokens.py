@@ -121,7 +121,7 @@ class Encoder:
             start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
         else:
             start = end = np.empty(0, np.int64)
-        h = tb.span_hash(tb.prefix_hash(tb.BYTE_CODE[data]), start, end)
+        h = tb.content_hash(data, start, end)
         piece = self._find(h)
         if len(new := np.flatnonzero(piece < 0)):
             order = np.argsort(h[new], kind="stable")

@@ -60,3 +60,42 @@ def test_short_lines_that_repeat(spark):
     got = {x.doc_id: (x.text, x._n_removed) for x in ld.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     # equal ones go at every length, near ones only from MIN_CHARS on
     assert got == {1: (rows[0][1], 0), 2: ("And orns.\n ", 3), 3: ("", 2)}
+
+
+def test_long_lines(spark):
+    # memory and time in proportion to the line; the edit in any block, at both ends, or none
+    r = random.Random(2)
+    base = "".join(r.choice("abcdé fg") for _ in range(120_000))
+    edits = [base, base[1:], base[:-1], base[:70_000] + "X" + base[70_001:], base[:511] + base[512:], base + "y", base[:60_000] + "é" + base[60_000:], base[:9] + "Q" + base[10:90_000] + "Q" + base[90_001:]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(edits)], "doc_id long, text string")
+    got = {x.doc_id: x._n_removed for x in ld.dedup(df).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 0}
+
+
+def test_blocks_of_mixed_lengths(spark):
+    # lengths around the border between the two ways to make keys
+    r = random.Random(4)
+    limit = ld.FINE_BLOCKS * ld.BLOCK_CHARS
+    rows = []
+    for n in (limit - 1, limit, limit + 1, limit + 2):
+        x = "".join(r.choice("abc") for _ in range(n))
+        p = r.randrange(n)
+        for y in (x, x[:p] + "d" + x[p:], x[:p] + x[p + 1 :], x[:p] + "d" + x[p + 1 :], x[:p] + "d" + x[p + 1 : -3] + "d" + x[-2:]):
+            rows.append((len(rows), y))
+    got = {x.doc_id: x.text for x in ld.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert list(map(got.get, range(len(rows)))) == brute(rows, ld.MIN_CHARS)
+
+
+def test_many_lines_go(spark):
+    lines = [f"line number {i // 2} of a long text" + "x" * (i // 2 % 7) for i in range(4000)]
+    rows = [(-3, "\n".join(lines)), (-5, lines[0] + "\n" + lines[8])]
+    got = {x.doc_id: x.text for x in ld.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[-3], got[-5]] == brute(rows, ld.MIN_CHARS)
+
+
+def test_clashing_names(spark):
+    names = ["doc", "th", "_doc", "_th", "_drop", "_n_lines", "_N_removed", "a.b", "key", "line"]
+    df = spark.createDataFrame([(i, "a line that comes again\nx", *range(10)) for i in range(2)], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = ld.dedup(df)
+    assert got.columns == [*df.columns, "_n_lines_", "_n_removed_"]
+    assert sorted(got.collect()) == [(0, "a line that comes again\nx", *range(10), 2, 0), (1, "", *range(10), 2, 2)]

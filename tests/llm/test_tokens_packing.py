@@ -90,3 +90,24 @@ def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert packing.best_fit(none).count() == 0
     assert token_store.digest(shared.stage(token_store.images(none, tokens.vocabulary()))).count() == 0
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_that_a_polynomial_cant_tell_apart(spark):
+    # equal hashes modulo 2**64 for every base: ids, and lines, must not be mistaken for each other
+    from packetloom.llm import ngram_join, quality_rules
+
+    for n in (1024, 2048, 4096):
+        x, y = thue_morse(n), thue_morse(n, "b", "a")
+        df = spark.createDataFrame([(1, x), (2, y), (3, x + "\n" + y + "\n" + x)], "doc_id long, text string").coalesce(1)
+        lib = tokens.encoder(tokens.vocabulary()).lib
+        want = {i: zlib.crc32(np.array([*lib.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, t in ((1, x), (2, y))}
+        got = {r.doc_id: r.ids_crc32 for r in token_store.digest(shared.stage(token_store.images(df, tokens.vocabulary()))).collect()}
+        assert {i: got[i] for i in want} == want
+        packed = {r.doc_id: r.ids_crc32 for r in packing.best_fit(df).collect() if r.doc_id < 3}
+        assert packed == want
+        assert {r.doc_id: r.n_dup_lines for r in quality_rules.ledger(df).collect()} == {1: 0, 2: 0, 3: 1}
+        assert {r.doc_id: r.component_id for r in ngram_join.join(df, 3, 9, 10).collect()} == {1: 1, 2: 2, 3: 3}
