@@ -1,79 +1,5 @@
-"""A corpus pipeline of the operators in packetloom.llm (counted as part of that subpackage).
+"""The corpus pipeline: STAGES, ORACLE_SQL and run() (counted as part of packetloom.llm)."""
 
-Every stage gets all that its predecessor kept, as a Parquet table with the columns of documents.
-"""
+from packetloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import functools
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from packetloom.llm import decontaminate, line_dedup, ngram_join, packing, quality_rank, shared
-
-
-def _scoped(stage):
-    """Deletes what the stage before kept in the shared folder besides its (written) result, then runs."""
-
-    @functools.wraps(stage)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        shared.release(spark)
-        with shared.scope():
-            return stage(spark, docs, sf_dir)
-
-    return run
-
-
-@_scoped
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose preference score reaches the learned quantile.  Null texts count as empty."""
-    model = quality_rank.train(docs, shared.documents(spark, sf_dir, "labels"))
-    return quality_rank.score(docs, model, keep=True).where("_score >= 0.5").drop("_score")
-
-
-@_scoped
-def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines that an earlier line equals or nearly equals; documents of which nothing but white
-    space is left by that go.  n_chars follows the text."""
-    out = line_dedup.dedup(docs).where((F.col("_n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
-
-
-@_scoped
-def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more on five-word shingles, the one with the
-    smallest doc_id stays."""
-    return ngram_join.keep_one(docs, 5, 8, 10)
-
-
-@_scoped
-def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item go."""
-    return decontaminate.clean(docs, shared.documents(spark, sf_dir, "benchmark"))
-
-
-@_scoped
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces of the documents in sequences of 4096 tokens."""
-    return packing.best_fit(docs).withColumn("length", F.col("length").cast("long"))
-
-
-STAGES = [
-    ("quality classifier", quality_classifier),
-    ("line dedup", line_dedup_stage),
-    ("n-gram Jaccard join", ngram_jaccard),
-    ("benchmark decontamination", benchmark_decontamination),
-    ("best-fit packing", best_fit_packing),
-]
-
-#: No SQL for learned scores, edit distances and token ids; tests/llm/test_pipeline.py has the plain version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = shared.documents(spark, sf_dir)
-    for _, stage in STAGES[:-1]:
-        docs = shared.stage(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
