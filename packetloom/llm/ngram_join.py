@@ -14,18 +14,20 @@ falls into segments, one for each fragment.
    counted in ranges of the order; the counts of two sets differ by no more in all than the sets do, so
    this loses no link either.  (It keeps passages that many long texts share from tying all of these
    together.)  Beyond GROUP sets a segment's sets stay together.  What is left forms clusters.
-2. Overlaps.  In a cluster, the n-grams are again cut into fragments; each fragment's partial overlaps
-   are counted on their own, for all pairs of a block of sets at once, and summed per pair.  Clusters
-   with many sets are cut into blocks and every pair of blocks is a task of bounded size, so pairs are
-   counted but never emitted.  A task returns each set's links and a spanning forest.
+2. Overlaps, by vertical partitioning.  A cluster's sets are dealt into blocks of about BLOCK_SETS, and the
+   n-gram order is cut into fragments, such that two blocks have about FRAGMENT_GRAMS n-grams in each.
+   A task has one fragment of one pair of blocks, whatever the sets' sizes, and counts the partial overlaps
+   there, without looking at the rest of the sets; its counts are one row.  A second step sums the rows
+   of all fragments per pair, tests the pairs against the threshold, and returns each set's links and a
+   spanning forest.  Pairs of sets are counted but never emitted as rows.
 3. Components of the forests.  Equal sets are one class all along, counted once.
 
 Words are runs of bytes outside [\\x20\\x09-\\x0D], A-Z lower-cased.  With fewer words than n, the whole
 sequence is the one n-gram; without words (or with null text) the set is empty and links with nothing.
 
 Nulls: a null doc_id stays null, its document takes part, and it is nobody's component_id unless it
-links with no document that has an id (then null).  Repeated rows are documents of their own.
-Empty tables give no rows; other columns are ignored.
+links with no document that has an id (then null).  Repeated rows are documents of their own.  Ids may
+be negative.  Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,10 +39,12 @@ from pyspark.sql import DataFrame, functions as F
 from . import graph, shared, textbytes as tb
 from .textbytes import U64
 
-#: Sets and n-grams (in all) that a block of a cluster has, about.
-BLOCK_SETS, BLOCK_GRAMS = 512, 300_000
-#: n-grams in a fragment of the overlap count.
-FRAGMENT = 4096
+#: Sets of a cluster in a block, about.
+BLOCK_SETS = 512
+#: n-grams that two blocks have in a fragment, about.
+FRAGMENT_GRAMS = 300_000
+#: n-grams whose overlaps are counted by one product.
+STRIP = 4096
 #: Sets that share a segment are compared by their histograms up to so many; more stay together.
 GROUP = 256
 
@@ -176,26 +180,32 @@ def _signatures(docs: DataFrame, k: int, num: int, den: int, with_keys: bool) ->
     return _own(docs).mapInArrow(run, "doc_id long, th long, n_shingles long, s1 long, s2 long, keys array<long>, hist binary")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """The n-gram sets themselves, packed, of (node, cluster, copies, blocks, block, s1, s2, text)."""
-    names = ["node", "cluster", "copies", "blocks", "block"]
+def _fragments(docs: DataFrame, k: int) -> DataFrame:
+    """The n-gram sets of (node, cluster, n, copies, blocks, fragments, block, s1, s2, text), packed, a row for
+    each fragment of the n-gram order."""
+    names = ["node", "cluster", "n", "copies", "blocks", "block"]
 
     def run(batches):
         for batch in batches:
-            keep, grams = [], []
-            a, b = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("s1", "s2"))
+            keep, number, grams = [], [], []
+            a, b, pieces = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("s1", "s2", "fragments"))
             for r, g in gram_sets(batch.column(batch.schema.get_field_index("text")), k):
-                if set_hashes(g) == (a[r], b[r]):  # another row with the representative's doc_id
-                    keep.append(r)
-                    grams.append(g.tobytes())
+                if set_hashes(g) != (a[r], b[r]):
+                    continue  # another row with the representative's doc_id
+                bounds = np.searchsorted((g >> U64(32)) * U64(pieces[r]) >> U64(32), np.arange(pieces[r] + 1)).tolist()
+                for f, (x, y) in enumerate(zip(bounds, bounds[1:])):
+                    if y > x:
+                        keep.append(r)
+                        number.append(f)
+                        grams.append(g[x:y].tobytes())
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(x)).take(at) for x in names), pa.array(grams, pa.binary())], [*names, "grams"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(x)).take(at) for x in names), pa.array(number, pa.int32()), pa.array(grams, pa.binary())], [*names, "fragment", "grams"])
 
-    return docs.mapInArrow(run, "node long, cluster long, copies long, blocks int, block int, grams binary").dropDuplicates(["node"])
+    return docs.mapInArrow(run, "node long, cluster long, n long, copies long, blocks int, block int, fragment int, grams binary").dropDuplicates(["node", "fragment"])
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections, summed over fragments of the n-gram order."""
+    """Sizes of all pairwise intersections."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     gram = np.concatenate(sets)
     order = np.argsort(gram, kind="stable")
@@ -207,35 +217,38 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     total = np.zeros((len(sets), len(sets)), np.float32)
     if len(number):
         number = np.cumsum(np.concatenate([[0], number[1:] != number[:-1]]))
-        cut = np.searchsorted(number, np.arange(0, number[-1] + 1, FRAGMENT)).tolist() + [len(number)]
+        cut = np.searchsorted(number, np.arange(0, number[-1] + 1, STRIP)).tolist() + [len(number)]
         for f, (x, y) in enumerate(zip(cut, cut[1:])):
-            part = np.zeros((len(sets), int(number[y - 1]) - f * FRAGMENT + 1), np.float32)
-            part[owner[x:y], number[x:y] - f * FRAGMENT] = 1
+            part = np.zeros((len(sets), int(number[y - 1]) - f * STRIP + 1), np.float32)
+            part[owner[x:y], number[x:y] - f * STRIP] = 1
             total += part @ part.T
     return total
 
 
-def link_block(node: np.ndarray, copies: np.ndarray, block: np.ndarray, sets: list[np.ndarray], num: int, den: int):
-    """(links of each set in documents, root of each set in the links' forest) among the sets of one
-    block, or between those of two."""
-    common = overlaps(sets).astype(np.int64)
-    size = np.array([len(s) for s in sets], np.int64)
-    linked = den * common >= num * (size[:, None] + size[None, :] - common)
-    linked &= (block[:, None] != block[None, :]) if block.min() != block.max() else ~np.eye(len(sets), dtype=bool)
-    links = linked.astype(np.int64) @ copies
-    label = np.arange(len(sets))
-    order = np.argsort(node, kind="stable")
-    rank = np.empty_like(order)
-    rank[order] = np.arange(len(order))
-    label = rank.copy()  # ranks by node: the smallest label is the smallest node
+def partial_overlaps(block: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, n-grams in both) of all pairs a < b with any, of one block, or between two."""
+    common = np.triu(overlaps(sets), 1)
+    if block.min() != block.max():
+        common *= block[:, None] != block[None, :]
+    a, b = np.nonzero(common)
+    return a, b, common[a, b].astype(np.int64)
+
+
+def linked_sets(n: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray, common: np.ndarray, num: int, den: int):
+    """(links of each set in documents, root of each set in the links' forest) for pairs (a, b) of sets of n
+    n-grams and their whole overlaps."""
+    link = den * common >= num * (n[a] + n[b] - common)
+    a, b = a[link], b[link]
+    links = np.bincount(a, copies[b], len(n)).astype(np.int64) + np.bincount(b, copies[a], len(n)).astype(np.int64)
+    root = np.arange(len(n))
     while True:
-        low = np.where(linked, label[None, :], len(sets)).min(1)
-        new = np.minimum(label, low)
-        new = np.minimum(new, new[order[new]])
-        if (new == label).all():
-            break
-        label = new
-    return links, node[order[label]]
+        new = root.copy()
+        np.minimum.at(new, a, root[b])
+        np.minimum.at(new, b, root[a])
+        new = np.minimum(new, new[new])
+        if (new == root).all():
+            return links, root
+        root = new
 
 
 def grouped(batches, keys: tuple[str, ...]):
@@ -275,25 +288,91 @@ def _parted(met: DataFrame, num: int, den: int) -> DataFrame:
     return met.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def _link(sets: DataFrame, num: int, den: int) -> DataFrame:
+PARTIAL = ("node", "n", "copies", "a", "b", "common")
+
+
+def _partial(sets: DataFrame) -> DataFrame:
+    """A row of packed counts for each fragment of each pair of blocks."""
+
     def run(batches):
-        for t in grouped(batches, ("cluster", "i", "j")):
-            node, copies, block = (t.column(c).to_numpy() for c in ("node", "copies", "block"))
-            grams = [np.frombuffer(x, np.uint64) for x in t.column("grams").to_pylist()]
+        for t in grouped(batches, ("cluster", "i", "j", "fragment")):
+            node, n, copies, block = (t.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "copies", "block"))
             if len(node) < 2:
                 continue
-            links, root = link_block(node, copies.astype(np.int64), block, grams, num, den)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(root)], ["node", "links", "root"])
+            a, b, common = partial_overlaps(block, [np.frombuffer(x, np.uint64) for x in t.column("grams").to_pylist()])
+            if not len(a):
+                continue
+            at = [t.column(c).combine_chunks().slice(0, 1) for c in ("cluster", "i", "j")]
+            packed = [node, n, copies, *(x.astype(np.int32) for x in (a, b, common))]
+            yield pa.RecordBatch.from_arrays([*at, *(pa.array([x.tobytes()], pa.binary()) for x in packed)], ["cluster", "i", "j", *PARTIAL])
 
     other = F.explode(F.expr("sequence(0, blocks - 1)"))
-    spread = sets.withColumn("other", other).select("node", "cluster", "copies", "block", "grams", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return spread.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "node long, links long, root long")
+    spread = sets.withColumn("other", other).select("node", "cluster", "n", "copies", "block", "fragment", "grams", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    keys = ["cluster", "i", "j", "fragment"]
+    return spread.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "cluster long, i int, j int, " + ", ".join(f"{x} binary" for x in PARTIAL))
+
+
+class _Sum:
+    """The overlaps of one pair of blocks, summed fragment by fragment."""
+
+    def __init__(self):
+        self.at: dict[int, int] = {}
+        self.n: list[int] = []
+        self.copies: list[int] = []
+        self.total = np.zeros((8, 8), np.int64)
+
+    def add(self, node, n, copies, a, b, common) -> None:
+        for x, y, z in zip(node.tolist(), n.tolist(), copies.tolist()):
+            if x not in self.at:
+                self.at[x] = len(self.n)
+                self.n.append(y)
+                self.copies.append(z)
+        if len(self.n) > len(self.total):
+            wide = np.zeros((2 * len(self.n), 2 * len(self.n)), np.int64)
+            wide[: len(self.total), : len(self.total)] = self.total
+            self.total = wide
+        at = np.array([self.at[x] for x in node.tolist()])
+        self.total[np.minimum(at[a], at[b]), np.maximum(at[a], at[b])] += common
+
+    def links(self, num: int, den: int):
+        a, b = np.nonzero(self.total)
+        got, root = linked_sets(np.array(self.n), np.array(self.copies), a, b, self.total[a, b], num, den)
+        node = np.array(list(self.at), np.int64)
+        return node, got, node[root]
+
+
+def _link(partial: DataFrame, num: int, den: int) -> DataFrame:
+    """node, links, root: from the sums of the partial overlaps of each pair of blocks."""
 
-
-def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (documents that the document links with) of every row,
-    for links of Jaccard similarity num / den or more."""
-    spark = docs.sparkSession
+    def run(batches):
+        key, held, out = None, _Sum(), []
+        for batch in batches:
+            cols = [batch.column(batch.schema.get_field_index(x)) for x in ("cluster", "i", "j", *PARTIAL)]
+            for r in range(batch.num_rows):
+                own = tuple(c[r].as_py() for c in cols[:3])
+                if own != key and key is not None:
+                    out.append(held.links(num, den))
+                    held = _Sum()
+                key = own
+                held.add(*(np.frombuffer(c[r].as_buffer(), t) for c, t in zip(cols[3:], (np.int64,) * 3 + (np.int32,) * 3)))
+            if len(out) > 1000:
+                yield _linked_batch(out)
+                out = []
+        if key is not None:
+            out.append(held.links(num, den))
+        if out:
+            yield _linked_batch(out)
+
+    keys = ["cluster", "i", "j"]
+    return partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "node long, links long, root long")
+
+
+def _linked_batch(got: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got)], ["node", "links", "root"])
+
+
+def _joined(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """join(), with th, by which and by doc_id a row is found again."""
     # segments are made in a pass of their own: they go to their shuffle and are never stored besides
     signed = shared.stage(_signatures(docs, k, num, den, False).drop("keys"))
     classes = signed.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.coalesce(F.min_by("th", "doc_id"), F.min("th")).alias("th"), F.first("hist").alias("hist"))
@@ -308,28 +387,40 @@ def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     many = met.join(groups.where(F.col("c") > GROUP), "key").where("s1 != m").select(F.col("s1").alias("a"), F.col("m").alias("b"))
     parted = _parted(few.join(classes.select("s1", "n", "hist"), "s1"), num, den)
     clusters = graph.components(parted.union(many))
-    # a class without any doc_id gets a negative number of its own
-    node = F.coalesce("rep", F.lit(-1) - F.shiftrightunsigned("s1", 1))
-    members = clusters.select(F.col("id").alias("s1"), F.col("component").alias("cluster")).join(classes, "s1").withColumn("node", node)
-    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    members = clusters.select(F.col("id").alias("s1"), F.col("component").alias("cluster")).join(classes, "s1").withColumn("node", F.col("s1"))
+    blocks = F.ceil(F.count(F.lit(1)) / BLOCK_SETS)
+    sizes = members.groupBy("cluster").agg(blocks.cast("int").alias("blocks"), F.greatest(F.ceil(2 * F.sum("n") / blocks / FRAGMENT_GRAMS), F.lit(1)).cast("int").alias("fragments"))
     members = shared.stage(members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("s2", "s1"), F.col("blocks")).cast("int")))
     # the members grow with the corpus: one plan at every size
     texts = members.hint("merge").join(_own(docs).withColumnRenamed("doc_id", "own"), ["th"]).where(F.col("own").eqNullSafe(F.col("rep")))
-    linked = shared.stage(_link(_sets(texts, k), num, den))
+    linked = shared.stage(_link(_partial(_fragments(texts, k)), num, den))
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
     roots = graph.components(linked.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    found = classes.withColumn("node", node).join(links, "node", "left").join(roots.withColumnRenamed("id", "node"), "node", "left")
+    found = classes.withColumn("node", F.col("s1")).join(links, "node", "left").join(roots.withColumnRenamed("id", "node"), "node", "left")
     # classes of one document that link with nothing need no row here
-    found = found.where("copies > 1 or component is not null").select("s1", "s2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "s1", "s2").join(found, ["s1", "s2"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", F.when(component >= 0, component).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    found = shared.stage(found.where("copies > 1 or component is not null").select("s1", "s2", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")))
+    least = found.groupBy("component").agg(F.min("rep").alias("component_id"))
+    found = found.join(least, "component").select("s1", "s2", "n_links", "component_id")
+    out = signed.select("doc_id", "th", "n_shingles", "s1", "s2").join(found, ["s1", "s2"], "left")
+    return out.select("doc_id", "th", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def join(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (documents that the document links with) of every row,
+    for links of Jaccard similarity num / den or more."""
+    return _joined(docs, k, num, den).drop("th")
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """docs without those whose component has a smaller doc_id; rows of equal doc_id stay together."""
-    gone = join(docs, k, num, den).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """docs without those whose component has a smaller doc_id, a null one being the largest; rows of equal
+    doc_id and text stay together, and so do the rows of a component without any doc_id."""
+    doc, th = shared.fresh(docs, "doc", "th")
+    later = F.col("component_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("component_id") < F.col("doc_id")))
+    gone = _joined(docs, k, num, den).where(later).select(F.col("doc_id").alias(doc), F.col("th").alias(th)).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.withColumn(th, F.xxhash64(text, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))))
+    found = (own[th] == gone[th]) & own["doc_id"].cast("long").eqNullSafe(gone[doc])
+    return own.join(gone, found, "left_anti").select(*shared.columns(docs))
 
 
 def op6_ngram_jaccard_join(spark, sf_dir) -> DataFrame:

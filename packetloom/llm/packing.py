@@ -1,15 +1,16 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
-Documents longer than a sequence are cut into full pieces and a rest.  Pieces are placed in
-bulk-synchronous rounds, from the longest length to the shortest.  In a round, all pieces of one length
-are matched at once with the gaps, which are kept sorted: a sweep over the successors (the smallest
-gaps that fit, then the next) gives every gap as many pieces as it holds; pieces compete by rank, the
-lower rank gets the smaller gap; all gaps are updated, and the next round begins.  Pieces that no gap
-holds open new sequences.  Since equal lengths and equal gaps are interchangeable, both sorted lists
-are kept run by run: (length, ranks from..to) and (gap, sequences from..to).  That makes a round's
-sweep a few list steps whose number depends on the sequence length alone, not on the corpus, while the
-ranks, which do depend on it, are dealt out on the executors.  The result is exactly best-fit
-decreasing.
+Documents longer than a sequence are cut into full pieces and a rest.  Pieces are range-sorted by length
+(ties by a hash, so that a length that a third of all pieces have is still dealt out evenly) and get
+their rank among the pieces of their length.  They are placed in bulk-synchronous rounds, from the
+longest length to the shortest.  In a round, all pieces of one length are matched at once with the gaps,
+which are kept sorted: a sweep over the successors (the smallest gaps that fit, then the next) gives every
+gap as many pieces as it holds; pieces compete by rank, the lower rank gets the smaller gap; all gaps are
+updated, and the next round begins.  Pieces that no gap holds open new sequences.  Since equal lengths
+and equal gaps are interchangeable, the sweep works on runs: (length, ranks from..to) and (gap, sequences
+from..to), at most as many as there are lengths, whatever the corpus.  The sweep therefore takes place on
+the driver, while the sort, the ranks and the places, which do depend on the corpus, are made on the
+executors.  The result is exactly best-fit decreasing.
 
 Nulls: a null text is empty and gives one piece (the end id); a null doc_id stays null.  Repeated rows
 are all packed.  Empty tables give no rows.  Other columns are ignored.
@@ -22,7 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import shared, tokens
 
@@ -30,15 +31,11 @@ CAPACITY = 4096
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece; part and place: its rank among the
-    pieces of its length in its partition.  One pass, no shuffle."""
+    """doc_id, piece, start, length, ids_crc32 of every piece.  One pass, no shuffle."""
     shared.ship(docs.sparkSession)
-    kind = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, place long"
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def cut(batches):
-        from pyspark import TaskContext
-
-        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             doc_ids = batch.column(0)
             for i, j, ids, bounds in tokens.encode_column(batch.column(1), vocabulary, end_id):
@@ -51,14 +48,31 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                 raw = memoryview(ids.astype("<u4").tobytes())
                 first = ((bounds[row] + start) * 4).tolist()
                 crc = [zlib.crc32(raw[a : a + b]) for a, b in zip(first, (length * 4).tolist())]
-                order = np.argsort(length, kind="stable")
-                head = np.searchsorted(length[order], length[order])
-                place = np.empty(len(row), np.int64)
-                place[order] = np.arange(len(row)) - head + seen[length[order]]
-                seen += np.bincount(length, minlength=capacity + 1)
-                yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(i + row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(np.full(len(row), part), pa.int32()), pa.array(place)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"])
+                yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(i + row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64())], names)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, piece int, start long, length int, ids_crc32 long")
+
+
+def ranked(cut: DataFrame) -> DataFrame:
+    """pieces() in the order of their lengths, with part (ascending) and place, a piece's rank among those of
+    its length in its part."""
+    kind = T.StructType([*cut.schema, T.StructField("part", T.IntegerType()), T.StructField("place", T.LongType())])
+
+    def number(batches):
+        from pyspark import TaskContext
+
+        part, last, seen = TaskContext.get().partitionId(), -1, 0
+        for batch in batches:
+            length = batch.column(batch.schema.get_field_index("length")).to_numpy()
+            if not len(length):
+                continue
+            place = np.arange(len(length)) - np.searchsorted(length, length)
+            place[length == last] += seen
+            last, seen = length[-1], place[-1] + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part), pa.int32()), pa.array(place)], kind.fieldNames())
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, kind)
+    salt = F.xxhash64("doc_id", "piece", "ids_crc32")
+    return cut.repartitionByRange("length", salt).sortWithinPartitions("length").mapInArrow(number, kind)
 
 
 def rounds(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -103,33 +117,38 @@ def rounds(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 
 
 def pack(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces() (staged: it is read twice)."""
+    """Adds sequence_id and offset to ranked() (staged: it is read twice)."""
     shared.ship(placed.sparkSession)
-    by_part = placed.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    ranks = shared.stage(by_part.select("length", "part", "n", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("base")), 1)
-    # at most `capacity` rows
-    counts = {r["length"]: r["n"] for r in ranks.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    # parts are ranges of lengths: there are fewer rows than lengths and parts together
+    counts: dict[int, int] = {}
+    bases: dict[tuple[int, int], int] = {}
+    for r in placed.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")).orderBy("part", "length").collect():
+        bases[r["part"], r["length"]] = counts.get(r["length"], 0)
+        counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
     table = rounds(counts, capacity)
     stride = np.int64(1) << 48
-    names = [f.name for f in placed.schema if f.name not in ("part", "place")]
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema if f.name in names) + ", sequence_id long, offset long"
+    kind = T.StructType([*(f for f in placed.schema if f.name not in ("part", "place")), *(T.StructField(x, T.LongType()) for x in ("sequence_id", "offset"))])
+    names = kind.fieldNames()[:-2]
+    parts = sorted(bases)
+    of_part = np.array([p * stride + n for p, n in parts], np.int64)
+    base = np.array([bases[x] for x in parts], np.int64)
 
     def place(batches):
         key = table[:, 0] * stride + table[:, 1]
         for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(x)).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("length", "rank"))
+            part, length, rank = (batch.column(batch.schema.get_field_index(x)).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("part", "length", "place"))
+            rank = rank + base[np.searchsorted(of_part, part * stride + length)]
             at = np.searchsorted(key, length * stride + rank, "right") - 1
             k = rank - table[at, 1]
             per = np.maximum(table[at, 4], 1)
             sequence, offset = table[at, 3] + k // per, table[at, 5] + (k % per) * length
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(x)) for x in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(x)) for x in names), pa.array(sequence), pa.array(offset)], kind.fieldNames())
 
-    ranked = placed.join(ranks.select("length", "part", "base"), ["length", "part"]).withColumn("rank", F.col("place") + F.col("base"))
-    return ranked.select(*names, "rank").mapInArrow(place, kind)
+    return placed.mapInArrow(place, kind)
 
 
 def best_fit(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    return pack(shared.stage(pieces(docs, vocabulary or tokens.vocabulary(), capacity)), capacity)
+    return pack(shared.stage(ranked(shared.stage(pieces(docs, vocabulary or tokens.vocabulary(), capacity)))), capacity)
 
 
 def op1_best_fit_packing(spark, sf_dir) -> DataFrame:

@@ -8,15 +8,21 @@ judged on the input, and never cross texts.
    strings have equal anchors in equal places; neighbouring strings mostly share one, about one position
    in fifty is an anchor.  The strings with one anchor form its context, a run of bytes.
 2. Anchors are dealt by their hash.  One that is alone has no equal strings.  Where two contexts are the
-   same (128 bits of hash, length and place), all their strings occur twice.
+   same (64 bits of a polynomial hash of the anchor and 64 bits of XXH3 of the context, length and place),
+   all their strings occur twice.
 3. Anchors with several different contexts: the suffixes that begin in the contexts are sorted, each
-   context once.  Suffixes are dealt by place and first eight bytes, and then merge-sorted; two suffixes
-   are compared by their longest common extension, found by binary search over prefix polynomial hashes,
-   and by the byte behind it.  Neighbours in that order that agree on 200 bytes are verified byte by byte.
+   context once.  Strings in which 50 bytes or fewer come before the anchor have the 50 bytes behind it in
+   common with their equals, all others the 51 bytes before it: contexts are dealt in two halves, by the
+   anchor and those bytes.  Suffixes are dealt by place and first eight bytes, and then merge-sorted; two
+   suffixes are compared by their longest common extension, found by binary search over prefix polynomial
+   hashes, and by the byte behind it.  Neighbours in that order that agree on 200 bytes are verified byte
+   by byte.
 4. Each text's covered runs are united and cut out.
 
 Equal contexts are combined in each batch before the shuffle (two rows of them go on), so copies don't
-pile up.  Different contexts of one anchor meet in one task; they take 300 bytes each.
+pile up.  Different contexts that agree in an anchor and the bytes beside it meet in one task; they take
+some 250 bytes each, and beyond MANY of them the suffixes are sorted place by place, in groups dealt by
+the hash of the 200 bytes.
 
 Nulls: a null text is empty; a null doc_id stays null.  Repeated rows are texts of their own, so each is
 the other's copy.  Texts shorter than 200 bytes lose nothing.  Empty tables give no rows; other columns
@@ -29,6 +35,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import shared, textbytes as tb
@@ -36,8 +43,11 @@ from .ngram_join import grouped
 from .textbytes import U64
 
 WIDTH, GRAM = 200, 100
+#: Bytes beside the anchor by which the halves of contexts are dealt.
+SIDE = 50
+#: Contexts whose suffixes are sorted at once.
+MANY = 10_000
 LOW32 = U64(0xFFFFFFFF)
-SECOND = tb.BYTE_CODE[::-1].copy()
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, width: int = WIDTH, gram: int = GRAM):
@@ -69,7 +79,9 @@ def anchors(data: np.ndarray, offs: np.ndarray, width: int = WIDTH, gram: int =
     first, last, place = start[head], start[tail], place[head]
     row = np.searchsorted(offs, first, "right") - 1
     off, run = place - first, last - first
-    context = tb.span_hash(tb.prefix_hash(SECOND[data]), first, last + width) ^ tb.mix((off * 65536 + run).astype(np.uint64))
+    raw, digest = memoryview(data.tobytes()), xxhash.xxh3_64_intdigest
+    context = np.array([digest(raw[a:b]) for a, b in zip(first.tolist(), (last + width).tolist())], np.uint64)
+    context ^= tb.mix((off * 65536 + run).astype(np.uint64))
     return row, place - offs[row], off, run, h[place], context
 
 
@@ -144,6 +156,35 @@ class Suffixes:
 def repeats(contexts: list[bytes], off: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """For each context of one anchor, the first and last start (from the context's first byte) of a
     string that another context has as well; (1, 0) if there is none."""
+    if len(contexts) > MANY:
+        return _repeats_by_place(contexts, off, width)
+    return _sorted_repeats(contexts, off, width)
+
+
+def _repeats_by_place(contexts: list[bytes], off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many contexts: strings of one place and one hash at a time.  Of equal strings two are
+    sorted, what holds for them holds for the others."""
+    low, high = np.full(len(contexts), 1 << 40), np.full(len(contexts), -1)
+    many = np.array([len(c) for c in contexts], np.int64) - width + 1
+    for place in range(int(max(0, (off - many + 1).min())), int(off.max()) + 1):
+        begin = off - place
+        own = np.flatnonzero((begin >= 0) & (begin < many))
+        groups: dict[int, dict[bytes, list[int]]] = {}
+        parts = 1 + len(own) // MANY
+        for i, x in zip(own.tolist(), begin[own].tolist()):
+            string = contexts[i][x : x + width]
+            groups.setdefault(xxhash.xxh3_64_intdigest(string) % parts, {}).setdefault(string, []).append(i)
+        for strings in groups.values():
+            shown = [(s, at) for s, owners in strings.items() for at in owners[:2]]
+            first, last = _sorted_repeats([s for s, _ in shown], np.full(len(shown), place), width)
+            for (s, _), found in zip(shown, last >= first):
+                if found:
+                    at = np.array(strings[s])
+                    low[at], high[at] = np.minimum(low[at], begin[at]), np.maximum(high[at], begin[at])
+    return np.where(high < 0, 1, low), np.where(high < 0, 0, high)
+
+
+def _sorted_repeats(contexts: list[bytes], off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(c) for c in contexts], np.int64)
     base = np.cumsum(size) - size
     data = np.frombuffer(b"".join(contexts), np.uint8)
@@ -178,15 +219,15 @@ def repeats(contexts: list[bytes], off: np.ndarray, width: int = WIDTH) -> tuple
 
 def _rows(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.hash(text).alias("th"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(1), text)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """doc, th (which find a row again), first, last: runs of bytes [first, last) that go; they overlap."""
+    """doc, th (which find a row again; a null doc_id's doc is a second hash of the text), first, last: runs of bytes [first, last) that go; they overlap."""
     spark = docs.sparkSession
     shared.ship(spark)
     names = ["doc", "th", "place", "off", "run", "anchor", "context", "sure"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.int64(), pa.bool_()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.int64(), pa.bool_()]
 
     def find(batches):
         for batch in batches:
@@ -207,34 +248,41 @@ def covered(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0).take(at), batch.column(1).take(at), place, off, run, h.view(np.int64), c.astype(np.uint64).view(np.int64), sure]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, types)], names)
 
-    found = _rows(docs).select("doc", "th", "text").mapInArrow(find, "doc long, th int, place long, off short, run short, anchor long, context long, sure boolean")
+    found = _rows(docs).select("doc", "th", "text").mapInArrow(find, "doc long, th long, place long, off short, run short, anchor long, context long, sure boolean")
     both, alone = Window.partitionBy("anchor", "context"), Window.partitionBy("anchor")
     counted = found.repartition("anchor").withColumn("n", F.count(F.lit(1)).over(both)).withColumn("rank", F.row_number().over(both.orderBy("doc", "place"))).withColumn("all", F.count(F.lit(1)).over(alone))
     met = shared.stage(counted.where("all > 1 or sure").withColumn("sure", F.expr("sure or n > 1")))
     whole = met.where("sure").select("doc", "th", (F.col("place") - F.col("off")).alias("first"), (F.col("place") - F.col("off") + F.col("run") + WIDTH).alias("last"))
 
     asked = met.where("all > n and rank = 1").groupBy("doc", "th").agg(F.collect_list(F.struct("anchor", "place", "off", "run", "sure")).alias("asked"))
-    kind = "anchor long, doc long, th int, start long, off int, sure boolean, bytes binary"
+    kind = "key long, doc long, th long, start long, off int, sure boolean, bytes binary"
 
     def extract(batches):
         for batch in batches:
             data, offs = tb.buffers(batch.column(2))
             out = [[] for _ in range(7)]
             for r, (doc, th, asked_) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist())):
+                raw = data[offs[r] : offs[r + 1]].tobytes()
                 for a in asked_:
-                    start = a["place"] - a["off"]
-                    x = int(offs[r]) + start
-                    for column, value in zip(out, (a["anchor"], doc, th, start, a["off"], a["sure"], data[x : x + a["run"] + WIDTH].tobytes())):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], ["anchor", "doc", "th", "start", "off", "sure", "bytes"])
+                    place, off, run = a["place"], a["off"], a["run"]
+                    # the strings whose first byte is up to SIDE before the anchor, and those that begin before
+                    halves = (max(0, off - SIDE), run, raw[place + GRAM : place + GRAM + SIDE]), (0, min(run, off - SIDE - 1), raw[max(place - SIDE - 1, 0) : place])
+                    for half, (low, high, side) in enumerate(halves):
+                        if low > high:
+                            continue
+                        x = place - off
+                        key = xxhash.xxh3_64_intdigest(side, (a["anchor"] * 2 + half) & (1 << 64) - 1)
+                        for column, value in zip(out, (key - (1 << 63), doc, th, x + low, off - low, a["sure"], raw[x + low : x + high + WIDTH])):
+                            column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()))], ["key", "doc", "th", "start", "off", "sure", "bytes"])
 
     texts = asked.hint("merge").join(_rows(docs).drop("doc_id"), ["doc", "th"])
-    contexts = texts.select("doc", "th", "text", "asked").mapInArrow(extract, kind).repartition("anchor").sortWithinPartitions("anchor", "doc", "th", "start")
+    contexts = texts.select("doc", "th", "text", "asked").mapInArrow(extract, kind).repartition("key").sortWithinPartitions("key", "doc", "th", "start")
 
     def sort(batches):
-        for t in grouped(batches, ("anchor",)):
+        for t in grouped(batches, ("key",)):
             sure = t.column("sure").to_numpy()
-            if len(sure) < 2:
+            if len(sure) < 2 or sure.all():
                 continue
             first, last = repeats(t.column("bytes").to_pylist(), t.column("off").to_numpy().astype(np.int64))
             keep = np.flatnonzero((last >= first) & ~sure)
@@ -242,7 +290,7 @@ def covered(docs: DataFrame) -> DataFrame:
                 at, start = pa.array(keep), t.column("start").to_numpy()[keep]
                 yield pa.RecordBatch.from_arrays([t.column("doc").combine_chunks().take(at), t.column("th").combine_chunks().take(at), pa.array(start + first[keep]), pa.array(start + last[keep] + WIDTH)], ["doc", "th", "first", "last"])
 
-    return whole.unionByName(contexts.mapInArrow(sort, "doc long, th int, first long, last long"))
+    return whole.unionByName(contexts.mapInArrow(sort, "doc long, th long, first long, last long"))
 
 
 def unite(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

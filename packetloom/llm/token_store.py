@@ -13,7 +13,8 @@ The last block is padded with its last id.  A document or a block is found throu
 without reading the others.
 
 Nulls: a null text is empty and has the end id only; a null doc_id comes first and is kept as null
-(its bit in the image is the smallest i64).  Repeated rows are all kept, equal doc_ids in text order.
+(its number in the image is the smallest i64).  Repeated rows are all kept; equal doc_ids are in the order
+of a hash of their texts, so that they need not all be in one part.
 Empty tables give no images.  Other columns of the input are ignored.
 """
 
@@ -166,7 +167,8 @@ def images(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
                 first += len(ids)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, kind)
+    th = F.xxhash64("text")
+    return own.repartitionByRange("doc_id", th).sortWithinPartitions("doc_id", th, "text").mapInArrow(write, kind)
 
 
 def digest(stored: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def corpus(seed, n):
 @pytest.mark.parametrize("k,num,den,block", [(3, 90, 100, 512), (5, 8, 10, 7)])
 def test_join(spark, monkeypatch, k, num, den, block):
     monkeypatch.setattr(nj, "BLOCK_SETS", block)
-    monkeypatch.setattr(nj, "FRAGMENT", 50)
+    monkeypatch.setattr(nj, "FRAGMENT_GRAMS", 60)  # many fragments
     rows = corpus(3, 240) + [(500, None), (501, ""), (502, " \t\n"), (503, "a\xa0b É é"), (503, "a\xa0b É é"), (None, "one two three four five six"), (None, "one two three four five six")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, keys int").repartition(3)
     key = lambda r: tuple(-1 if x is None else x for x in r)
@@ -82,7 +82,33 @@ def test_cuts_guarantee():
 
 def test_keep_one(spark):
     df = spark.createDataFrame([(1, "a b c d e f g"), (2, "A b c d e f g"), (3, "x"), (None, "x")], "doc_id long, text string")
-    assert sorted((r[0] or 0) for r in nj.keep_one(df).collect()) == [0, 1, 3]
+    assert sorted((r[0] or 0) for r in nj.keep_one(df).collect()) == [1, 3]
+    none = df.where("doc_id is null")
+    assert nj.keep_one(none.union(none)).count() == 2
+    more = spark.createDataFrame([(-4, "x y", 1, 2), (-4, "x y", 1, 2), (-4, "z", 1, 2), (5, "Z", 1, 2)], "doc_id long, text string, _doc int, `_th` int")
+    assert sorted(map(tuple, nj.keep_one(more).collect())) == [(-4, "x y", 1, 2), (-4, "x y", 1, 2), (-4, "z", 1, 2)]
+
+
+def test_negative_ids(spark):
+    rows = [(-5, "a b c d e"), (-3, "a b c d e"), (7, "A b c d e"), (-9, "f g"), (None, "f g"), (None, "h i j"), (-1, "h i j k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.n_links) for r in nj.join(df, 3, 90, 100).collect()), key=str)
+    assert got == sorted([(-5, -5, 2), (-3, -5, 2), (7, -5, 2), (-9, -9, 1), (None, -9, 1), (None, None, 0), (-1, -1, 0)], key=str)
+
+
+def test_very_long_sets(spark, monkeypatch):
+    # sets of more n-grams than a fragment has, in clusters of several blocks
+    monkeypatch.setattr(nj, "FRAGMENT_GRAMS", 500)
+    monkeypatch.setattr(nj, "BLOCK_SETS", 3)
+    r = random.Random(8)
+    w = ["v%d" % r.randrange(10**5) for _ in range(6000)]
+    rows = []
+    for i in range(8):
+        x = list(w)
+        for _ in range(r.choice((10, 60, 120))):
+            x[r.randrange(6000)] = "z%d" % r.randrange(10**5)
+        rows.append((i - 4, " ".join(x)))
+    assert sorted(map(tuple, nj.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect())) == sorted(brute(rows, 3, 90, 100))
 
 
 def test_components(spark):

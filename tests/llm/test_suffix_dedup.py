@@ -70,3 +70,32 @@ def test_collisions_are_verified(monkeypatch):
     monkeypatch.setattr(sd.tb, "prefix_hash", lambda codes: np.zeros(len(codes) + 1, np.uint64))
     first, last = sd.repeats([b"a" * 8 + bytes(range(192)), b"a" * 8 + bytes(range(1, 193))], np.array([0, 0]))
     assert (first > last).all()
+
+
+def test_many_contexts_of_an_anchor(monkeypatch):
+    r = random.Random(7)
+    make = lambda n: bytes(r.choice(b"abcd") for _ in range(n))
+    anchor, near = make(100), [make(60) for _ in range(6)]
+    contexts, off = [], []
+    for _ in range(400):
+        before, behind = r.choice(near)[r.randrange(30) :] + make(r.randrange(3)), make(r.randrange(3)) + r.choice(near)
+        while len(before) + len(behind) < 101:
+            before, behind = r.choice(near)[:40] + before, behind + r.choice(near)[:30]
+        before, behind = before[-100:], behind[:100]
+        contexts.append(before + anchor + behind)
+        off.append(len(before))
+    contexts, off = map(list, zip(*dict.fromkeys(zip(contexts, off))))  # differing ones, as the operator gives
+    want = sd.repeats(contexts, np.array(off))
+    monkeypatch.setattr(sd, "MANY", 20)
+    got = sd.repeats(contexts, np.array(off))
+    assert (got[0] == want[0]).all() and (got[1] == want[1]).all() and (want[1] >= want[0]).sum() > 50
+
+
+def test_boilerplate_with_other_neighbours(spark):
+    # a phrase of 150 bytes in texts that share nothing else, or the bytes on one side of it
+    r = random.Random(8)
+    make = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    phrase, side = make(150), make(90)
+    texts = [make(r.randrange(300)) + r.choice(("", side)) + phrase + r.choice(("", side[:60])) + make(r.randrange(300)) for _ in range(300)]
+    df = spark.createDataFrame([(r.choice((None, i)), t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert sorted(tuple(x)[1:5] for x in sd.dedup(df).collect()) == sorted(brute(texts))

@@ -9,6 +9,14 @@ from packetloom.llm import packing, shared, token_store, tokens
 TEXTS = ["", None, "It's a <|endoftext|> test, isn't it? 10,000", "word " * 9000, "a\x1cb\x85c É! ≠", "same", "same", "\n\n", "0 00 x0y"]
 
 
+@pytest.fixture
+def parts(spark):
+    """Small partitions stay apart."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i if i != 5 else None, t, "x") for i, t in enumerate(TEXTS)] + [(6, "same", "y")]
@@ -111,3 +119,36 @@ def test_words_that_a_polynomial_cant_tell_apart(spark):
         assert packed == want
         assert {r.doc_id: r.n_dup_lines for r in quality_rules.ledger(df).collect()} == {1: 0, 2: 0, 3: 1}
         assert {r.doc_id: r.component_id for r in ngram_join.join(df, 3, 9, 10).collect()} == {1: 1, 2: 2, 3: 3}
+
+
+def test_ranks_of_a_hot_length(spark, parts):
+    # most pieces have one length; their ranks are dealt over several parts and leave no holes
+    rows = [(i, "" if i % 3 else "word " * (i % 50)) for i in range(3000)] + [(-i, None) for i in range(1, 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    cut = shared.stage(packing.pieces(df, tokens.vocabulary()))
+    placed = shared.stage(packing.ranked(cut))
+    hot = placed.where("length = 1").groupBy("part").count().collect()
+    assert len(hot) > 1
+    got = packing.pack(placed).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(got) == len(rows) and len(by) == -(-sum(r.length for r in got) // 4096)
+    for runs in by.values():
+        assert [o for o, _ in sorted(runs)] == list(np.cumsum([0, *(n for _, n in sorted(runs))])[:-1])
+
+
+def test_equal_ids_are_dealt_out(spark, parts):
+    rows = [(None, "text %d" % i) for i in range(400)] + [(-7, "x"), (-7, "y"), (5, "z")]
+    stored = shared.stage(token_store.images(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tokens.vocabulary()))
+    assert stored.select("part").distinct().count() > 1
+    got = token_store.digest(stored).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 400 + [-7, -7, 5]
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+
+
+def test_files(spark, docs, tmp_path):
+    stored = shared.stage(token_store.images(docs, tokens.vocabulary()))
+    assert token_store.export_files(stored, str(tmp_path)) == stored.count()
+    ids = [i for f in sorted(tmp_path.iterdir()) for i in token_store.read_image(f.read_bytes())[0].tolist()]
+    assert ids == [r.doc_id if r.doc_id is not None else token_store.NO_ID for r in token_store.digest(stored).orderBy("start").collect()]
