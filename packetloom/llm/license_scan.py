@@ -1,15 +1,21 @@
-"""License scans: exact shingle containment over overlapping text windows, by an index of the shingles.
+"""License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment
+verifies them.
 
 Texts are lower-cased and cut into words (letters, digits, code points beyond ASCII), words into shingles
 of five.  A document carries a template if the words of some window hold `containment` (0.8) or more of
 the template's distinct shingles.
 
 1. Windows.  For a template of L words, windows have 2L words and begin every ceil(L / 2) words, so any
-   run of 1.5 L words lies in a window whole.  A window without any shingle of a template cannot contain
-   it and is not looked at; neither is the text between (this loses nothing).
-2. The templates' shingles are indexed, and each window's distinct shingles of a template are counted
-   exactly; no window that holds `containment` is left to chance.  The place given is that of the
-   template's shingles in the window with the highest containment (the first of equals).
+   run of 1.5 L words lies in a window whole.
+2. Retrieval.  A window gets the minima of HASHES hash functions over its shingles, cut into bands; a
+   template is retrieved where a band agrees with its own.  A window that holds `containment` of a
+   template has a Jaccard similarity of J to it at least, which follows from L; a band has as many hashes
+   (r) as keep the chance to miss, (1 - J ** r) ** (HASHES // r), below MISS.  So bands are longer, and
+   chance meetings rarer, the longer the template.  (A minimum can only agree where the window holds the
+   template's shingle it comes from; windows without any shingle of a template of their size are passed
+   over, which changes nothing.)
+3. Verification.  A retrieved template's distinct shingles in the window are counted.  The place given is
+   that of the template's shingles in the window with the highest containment (the first of equals).
 
 Templates with fewer words than five are one shingle.  The template table is cut into blocks of at most
 BLOCK_WORDS words, one pass over the documents for each.
@@ -21,19 +27,23 @@ Repeated rows each give their rows; empty tables give none.  Other columns are i
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import shared, textbytes as tb
+from . import license_texts, shared, textbytes as tb
 from .textbytes import U64
 
 K, CONTAINMENT = 5, 0.8
+#: Hash functions of a signature, and the chance to miss a window that bands may leave.
+HASHES, MISS = 256, 1e-6
 BLOCK_WORDS = 500_000
 
 #: The customary one-line and first-paragraph notices of common licenses, the short Creative
-#: Commons forms, and the further paragraphs of whole license texts (found where the first one is missing).
+#: Commons forms, the further paragraphs of license texts (found where the first one is missing), and whole
+#: license texts.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("MIT", "Released under the MIT License"),
@@ -63,11 +73,45 @@ TEMPLATES = (
     ("Apache-text-2", "Terms and conditions for use, reproduction, and distribution"),
     ("Apache-text-3", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
     ("Unlicense-2", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+    *license_texts.WHOLE,
 )
 
 
+@cache
+def _salts() -> np.ndarray:
+    return tb.mix(np.arange(1, HASHES + 1, dtype=np.uint64))
+
+
+def signature(g: np.ndarray) -> np.ndarray:
+    """The minima of HASHES hash functions over the shingles g."""
+    return tb.mix(g[:, None] ^ _salts()).min(0)
+
+
+def lowest_jaccard(size: int, shingles: int, k: int, containment: float = CONTAINMENT) -> float:
+    """Of a window of 2 * size words that holds `containment` of a template's distinct shingles."""
+    held = math.ceil(containment * shingles - 1e-9)
+    return held / (2 * size - k + 1 + shingles - held)
+
+
+def band_rows(jaccard: float) -> int:
+    """The most hashes a band may have."""
+    rows = 1
+    while rows < 8 and (1 - jaccard ** (rows + 1)) ** (HASHES // (rows + 1)) <= MISS:
+        rows += 1
+    return rows
+
+
+def bands(minima: np.ndarray, rows: int) -> np.ndarray:
+    """One number for each band of a signature."""
+    n = HASHES // rows
+    out = np.arange(n, dtype=np.uint64)
+    for j in range(rows):
+        out = tb.mix(out * U64(0xD6E8FEB86659FD93) + minima[j * n : (j + 1) * n])
+    return out
+
+
 class Templates:
-    """The templates of one pass."""
+    """The templates of one pass, by number of words."""
 
     def __init__(self, names: list[str], texts: list[str], containment: float = CONTAINMENT):
         data, offs = tb.buffers(pa.array([t.lower() for t in texts], pa.string()))
@@ -81,36 +125,58 @@ class Templates:
         self.known = np.unique(np.concatenate([*self.grams, np.empty(0, np.uint64)]))
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.known >> U64(44)).astype(np.int64)] = True
-        self.holders: dict[int, list[int]] = {}
-        for i, g in enumerate(self.grams):
-            for x in g.tolist():
-                self.holders.setdefault(x, []).append(i)
+        #: For each number of words: the shingles of its templates; and for each length of bands that they
+        #: have, the templates of every band.
+        self.own: dict[int, np.ndarray] = {}
+        self.buckets: dict[int, dict[int, dict[int, list[int]]]] = {}
+        for size in np.unique(self.size[self.size > 0]).tolist():
+            items = np.flatnonzero(self.size == size).tolist()
+            self.own[size] = np.unique(np.concatenate([self.grams[i] for i in items]))
+            by_rows = self.buckets[size] = {}
+            for i in items:
+                rows = band_rows(lowest_jaccard(size, len(self.grams[i]), int(self.k[i]), containment))
+                for band in bands(signature(self.grams[i]), rows).tolist():
+                    by_rows.setdefault(rows, {}).setdefault(band, []).append(i)
 
     def hits(self, g: np.ndarray) -> np.ndarray:
         maybe = np.flatnonzero(self.seen[(g >> U64(44)).astype(np.int64)])
-        if not len(maybe) or not len(self.known):
-            return maybe[:0]
-        at = np.minimum(np.searchsorted(self.known, g[maybe]), len(self.known) - 1)
-        return maybe[self.known[at] == g[maybe]]
+        return maybe[_among(g[maybe], self.known)]
+
+    def retrieve(self, g: np.ndarray, size: int) -> set[int]:
+        """The templates of `size` words that a band of a window with the shingles g has."""
+        minima, out = signature(g), set()
+        for rows, table in self.buckets[size].items():
+            for band in bands(minima, rows).tolist():
+                out.update(table.get(band, ()))
+        return out
 
     def scan(self, g: np.ndarray, k: int, hit: np.ndarray):
         """(template, first word, words, containment) for a document's k-shingles g, hit by known ones."""
-        able: dict[int, list[int]] = {}
-        for p in hit.tolist():
-            for i in self.holders[int(g[p])]:
-                if self.k[i] == k:
-                    able.setdefault(i, []).append(p)
-        for i, at in sorted(able.items()):
-            size = int(self.size[i])
+        best: dict[int, tuple[int, int, float]] = {}
+        for size, own in self.own.items():
+            if min(size, K) != k:
+                continue
+            at = hit[_among(g[hit], own)]
             step, wide = math.ceil(size / 2), 2 * size - k + 1
-            best = None
-            for w in sorted({x * step for p in at for x in range(max(0, -(-(p - wide + 1) // step)), p // step + 1)}):
-                own = [p for p in at if w <= p < w + wide]
-                share = len({int(g[p]) for p in own}) / len(self.grams[i])
-                if share >= self.containment - 1e-9 and (best is None or share > best[2]):
-                    best = (own[0], own[-1] + k - own[0], share)
-            if best:
-                yield (i, *best)
+            first = np.maximum(0, -(-(at - wide + 1) // step))
+            count = at // step - first + 1
+            windows = np.unique(np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * step
+            for w in windows.tolist():
+                part = g[w : w + wide]
+                for i in self.retrieve(part, size):
+                    held = np.flatnonzero(_among(part, self.grams[i]))
+                    share = len(np.unique(part[held])) / len(self.grams[i])
+                    if share >= self.containment - 1e-9 and (i not in best or share > best[i][2]):
+                        best[i] = (w + int(held[0]), int(held[-1] - held[0]) + k, share)
+        for i, found in sorted(best.items()):
+            yield (i, *found)
+
+
+def _among(g: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of g are in the sorted `known`."""
+    if not len(known):
+        return np.zeros(len(g), bool)
+    return known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g
 
 
 def _blocks(templates):
