@@ -35,7 +35,7 @@ BITS, RADIUS = 128, 32
 #: Words of benchmark items in one pass.
 BLOCK_WORDS = 2_000_000
 _BIT = np.arange(64, dtype=np.uint64)
-#: Shingles whose windows are looked at together.
+#: Places whose windows are looked at together.
 STRIP = 1 << 14
 
 
@@ -128,9 +128,11 @@ class Index:
                 continue
             shown, own = hit[m:] - hit[:-m], whole[m:] - whole[:-m]
             able = np.flatnonzero(shown >= self.threshold * own - 1e-9)
-            for x in range(0, len(able), STRIP):
-                part = able[x : x + STRIP]
-                cover = np.unique(part[:, None] + np.arange(m))
+            for part in np.split(able, np.flatnonzero(np.diff(able // STRIP)) + 1) if len(able) else ():
+                step = np.zeros(part[-1] - part[0] + m + 1, np.int64)
+                step[part - part[0]] += 1
+                step[part - part[0] + m] -= 1
+                cover = part[0] + np.flatnonzero(np.cumsum(step) > 0)
                 at = np.searchsorted(cover, part)
                 window, item = self.candidates(self.fingerprints(g[cover], at, at + m), size)
                 start = part[window]
@@ -188,10 +190,15 @@ def _items(benchmark: DataFrame):
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, first_word, n_words, similarity: the best window of every item a document leaks."""
+    return _leaks(docs, benchmark, threshold).drop("th")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """leaks(), with th, by which and by doc_id a row is found again."""
     spark = docs.sparkSession
     shared.ship(spark)
-    kind = "doc_id long, item_id long, first_word long, n_words long, similarity double"
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
+    kind = "doc_id long, th long, item_id long, first_word long, n_words long, similarity double"
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"), F.xxhash64(F.col("text").cast("string")).alias("th"))
     out = None
     blocks = _items(benchmark)
     block, after = next(blocks, None), next(blocks, None)
@@ -228,7 +235,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
                                 doc.append(i + r)
                                 for column, value in zip((item, first, n, sim), got):
                                     column.append(value)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc, pa.int64())), pa.array([index.ids[x] for x in item], pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array([round(x, 6) for x in sim], pa.float64())], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(doc, pa.int64())) for c in (0, 2)), pa.array([index.ids[x] for x in item], pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array([round(x, 6) for x in sim], pa.float64())], ["doc_id", "th", "item_id", "first_word", "n_words", "similarity"])
 
         part = own.mapInArrow(run, kind)
         out = part if out is None else out.unionByName(part)
@@ -236,9 +243,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that leak; rows of equal doc_id go together."""
-    gone = leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """docs without those that leak; rows of equal doc_id and text go together."""
+    doc, th = shared.fresh(docs, "doc", "th")
+    gone = _leaks(docs, benchmark, threshold).select(F.col("doc_id").alias(doc), F.col("th").alias(th)).distinct()
+    own = docs.withColumn(th, F.xxhash64(F.col("text").cast("string")))
+    return own.join(gone, (own[th] == gone[th]) & own["doc_id"].cast("long").eqNullSafe(gone[doc]), "left_anti").select(*shared.columns(docs))
 
 
 def op4_benchmark_decontamination(spark, sf_dir) -> DataFrame:

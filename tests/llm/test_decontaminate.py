@@ -3,6 +3,8 @@ import math
 import random
 import re
 
+import numpy as np
+
 from packetloom.llm import decontaminate as dc
 
 
@@ -88,3 +90,20 @@ def test_weights_are_of_the_whole_benchmark(spark, monkeypatch):
     monkeypatch.setattr(dc, "BLOCK_WORDS", 60)
     want = brute(docs, items)
     assert {(x.doc_id, x.item_id): x.similarity for x in dc.leaks(d, b).collect()} == want and len(want) > 20
+
+
+def test_rows_without_ids_are_told_apart(spark):
+    item = " ".join("w%d" % i for i in range(30))
+    docs = spark.createDataFrame([(None, "before " + item, 1), (None, "a clean text of some words", 2), (-3, item.upper(), 3), (-3, "another clean text", 4), (8, None, 5), (9, "", 6)], "doc_id long, text string, _gone int")
+    bench = spark.createDataFrame([(None, item), (-1, item), (2, None)], "item_id long, text string")
+    assert sorted(r._gone for r in dc.clean(docs, bench).collect()) == [2, 4, 5, 6]
+    assert sorted((str(r.doc_id), str(r.item_id), r.first_word) for r in dc.leaks(docs, bench).collect()) == [("-3", "-1", 0), ("-3", "None", 0), ("None", "-1", 1), ("None", "None", 1)]
+
+
+def test_very_long_texts_and_items(spark):
+    r = np.random.default_rng(5)
+    item = " ".join("w%d" % i for i in r.integers(0, 10**6, 9000))
+    text = " ".join("x%d" % i for i in r.integers(0, 10**6, 150_000))
+    docs = spark.createDataFrame([(1, text + " " + item + " " + text), (2, text)], "doc_id long, text string")
+    got = dc.leaks(docs, spark.createDataFrame([(4, item)], "item_id long, text string")).collect()
+    assert [(x.doc_id, x.item_id, x.first_word, x.similarity) for x in got] == [(1, 4, 150_000, 1.0)]
