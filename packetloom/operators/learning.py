@@ -20,27 +20,69 @@ def dictionary(df: DataFrame, label: str, mode: str = "sorted", order: str | Non
     return seen.withColumn("id", F.row_number().over(Window.orderBy("_at", label)) - 1).drop("_at")
 
 
+def _hash_order(seed: int, key: str) -> tuple[Column, Column]:
+    """(md5 of seed and key, which orders the keys; its first three digits, one of 4096 parts of that order)."""
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    return order, F.substring(order, 1, 3)
+
+
+def hash_rank(df: DataFrame, key: str, seed: int, by: list[str] = ()) -> DataFrame:
+    """Adds `rank` (from 1, in the order of a seeded md5 of key, within the groups `by`) and `n` (rows of the
+    group).  Ranks are counted in 4096 parts of the order and set off by the parts before, so that a group
+    of any size is dealt out."""
+    order, part = _hash_order(seed, key)
+    rows = df.withColumns({"_o": order, "_part": part})
+    counts = rows.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    within = Window.partitionBy(*by)
+    before = counts.withColumns({"_before": F.sum("_n").over(within.orderBy("_part")) - F.col("_n"), "n": F.sum("_n").over(within)}).drop("_n")
+    if by:
+        keys = F.lit(True)
+        for c in [*by, "_part"]:
+            before = before.withColumnRenamed(c, f"_b_{c}")
+            keys = keys & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+        joined = rows.join(before, keys).drop(*(f"_b_{c}" for c in [*by, "_part"]))
+    else:
+        joined = rows.join(F.broadcast(before), "_part")  # 4096 rows at most
+    local = F.row_number().over(Window.partitionBy(*by, "_part").orderBy("_o", key))
+    return joined.withColumn("rank", local + F.col("_before")).drop("_o", "_part", "_before")
+
+
 def sample(df: DataFrame, source: str, key: str, ratio: float, seed: int, cap: int | None = None, least: int = 1) -> DataFrame:
     """Whole keys of each source, max(least, ceil(n * ratio)) and at most `cap`, by rank of a seeded md5."""
-    ids = df.select(source, key).where(F.col(key).isNotNull()).distinct()
-    n = F.count(F.lit(1)).over(Window.partitionBy(source))
-    want = F.greatest(F.lit(least), F.ceil(n * ratio))
-    want = F.least(want, F.lit(cap), n) if cap is not None else F.least(want, n)
-    rank = F.row_number().over(Window.partitionBy(source).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key))
-    return ids.withColumns({"_want": want, "_rank": rank, "flows_before": n}).where(F.col("_rank") <= F.col("_want")).drop("_want", "_rank")
+    if not 0 < ratio <= 1:
+        raise ValueError("the ratio must be in (0, 1]")
+    ids = hash_rank(df.select(source, key).where(F.col(key).isNotNull()).distinct(), key, seed, [source])
+    want = F.greatest(F.lit(least), F.ceil(F.col("n") * ratio))
+    want = F.least(want, F.lit(cap), F.col("n")) if cap is not None else F.least(want, F.col("n"))
+    return ids.where(F.col("rank") <= want).drop("rank").withColumnRenamed("n", "flows_before")
 
 
-def sample_exact(spark, ids: list[str], ratio: float, seed: int, cap: int | None = None, least: int = 1) -> list[str]:
-    """The seeded choice of numpy's default generator over one source's sorted ids (they fit one file)."""
+def draw(ids, ratio: float, seed: int, cap: int | None = None, least: int = 1) -> list[str]:
+    """The seeded choice of numpy's default generator over one source's sorted ids."""
     import numpy as np
 
     own = sorted(set(map(str, ids)))
     if not own:
         return []
-    n = min(max(least, math.ceil(len(own) * ratio)), len(own) if cap is None else min(cap, len(own)))
+    if not 0 < ratio <= 1:
+        raise ValueError("the ratio must be in (0, 1]")
+    n = min(max(least, math.ceil(len(own) * ratio)), len(own) if cap is None else cap, len(own))
     return [own[i] for i in sorted(np.random.default_rng(seed).choice(len(own), size=n, replace=False).tolist())]
 
 
+def sample_exact(df: DataFrame, source: str, key: str, ratio: float, seed: int, cap: int | None = None, least: int = 1) -> DataFrame:
+    """draw() for each source: (source, key) as text.  A source is one capture, whose ids fit a task; sample() has no
+    such limit."""
+    ids = df.select(F.col(source).cast("string").alias("source"), F.col(key).cast("string").alias("key")).where("key is not null").distinct()
+
+    def run(key_, rows):
+        import pandas as pd
+
+        return pd.DataFrame({"source": key_[0], "key": draw(rows["key"], ratio, seed, cap, least)})
+
+    return ids.groupBy("source").applyInPandas(run, "source string, key string")
+
+
 def dominant_label(df: DataFrame, group: str, label: str) -> DataFrame:
     """(group, label): the label most rows have, the smallest of those."""
     counts = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("_n"))
@@ -59,14 +101,59 @@ def split_counts(n: int, val: float, test: float) -> tuple[int, int]:
 
 
 def group_split(df: DataFrame, group: str, label: str, val: float = 0.15, test: float = 0.15, seed: int = 42) -> DataFrame:
-    """(group, split): groups never straddle splits.  The order is a seeded md5's; one row per group."""
-    groups = dominant_label(df, group, label)
-    n = groups.count()
-    if n < 3:
+    """(group, label, split): groups never straddle splits.  The order is a seeded md5's.  Fewer than three
+    groups fail when the result is read."""
+    ranked = hash_rank(dominant_label(df, group, label), group, seed)
+    n = F.col("n")
+    t, v = (F.greatest(F.lit(1), F.bround(n * x).cast("long")) if x else F.lit(0) for x in (test, val))
+    # where train would be left without a group, val and test give way in turn, the larger first
+    over = F.greatest(F.lit(0), t + v - n + 1)
+    lead = F.abs(v - t)
+    both = F.greatest(F.lit(0), over - lead)
+    lower_v = F.when(v >= t, F.least(over, lead)).otherwise(0) + F.ceil(both / 2)
+    lower_t = F.when(v < t, F.least(over, lead)).otherwise(0) + F.floor(both / 2)
+    enough = F.when(n < 3, F.raise_error(F.lit("a split needs three groups at least")).cast("long")).otherwise(n)
+    out = ranked.withColumns({"_t": t - lower_t, "_v": v - lower_v}).where(enough >= 3)
+    return out.select(group, label, F.when(F.col("rank") <= F.col("_t"), "test").when(F.col("rank") <= F.col("_t") + F.col("_v"), "val").otherwise("train").alias("split"))
+
+
+def group_split_exact(df: DataFrame, group: str, label: str, val: float = 0.15, test: float = 0.15, seed: int = 42) -> DataFrame:
+    """(group, split) by the seeded permutation of numpy's default generator over the groups in the order of
+    their dominant labels and names.  Groups are captures, and their names come to the driver; group_split()
+    has no such limit."""
+    import numpy as np
+
+    if val < 0 or test < 0 or val + test >= 1:
+        raise ValueError("val and test must not be negative and must leave a share for train")
+    names = [str(r[0]) for r in dominant_label(df.withColumn(group, F.col(group).cast("string")), group, label).orderBy(label, group).select(group).collect()]
+    if len(names) < 3:
         raise ValueError("a split needs three groups at least")
-    v, t = split_counts(n, val, test)
-    rank = F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"))), group))
-    return groups.withColumn("_r", rank).withColumn("split", F.when(F.col("_r") <= t, "test").when(F.col("_r") <= t + v, "val").otherwise("train")).select(group, label, "split")
+    mixed = [names[i] for i in np.random.default_rng(seed).permutation(len(names))]
+    v, t = split_counts(len(names), val, test)
+    split = ["test"] * t + ["val"] * v + ["train"] * (len(names) - t - v)
+    return df.sparkSession.createDataFrame(list(zip(mixed, split)), f"`{group}` string, split string")
+
+
+def stratified_split(df: DataFrame, label: str, key: str, test: float = 0.2, seed: int = 42) -> DataFrame:
+    """Adds split: of each label's rows, a share of `test` (rounded) by the rank of a seeded md5 of key."""
+    ranked = hash_rank(df, key, seed, [label])
+    return ranked.withColumn("split", F.when(F.col("rank") <= F.bround(F.col("n") * test), "test").otherwise("train")).drop("rank", "n")
+
+
+def auc(df: DataFrame, positive: str, score: str, parts: int = 512) -> DataFrame:
+    """One row, auc: the share of (positive, negative) pairs in which the positive scores higher, ties counting
+    half.  Scores are counted first; their order is cut at approximate quantiles, and the counts of all parts
+    below are added to those within."""
+    by = df.where(F.col(positive).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(~F.col(positive)).alias("neg"), F.count_if(F.col(positive)).alias("pos"))
+    cuts = by.agg(F.percentile_approx("s", [i / parts for i in range(1, parts)], 10_000).alias("c")).first()["c"] or []
+    bounds = F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+    rows = by.withColumn("part", F.size(F.filter(bounds, lambda c: c < F.col("s"))))
+    sums = rows.groupBy("part").agg(F.sum("neg").alias("n"))
+    below = sums.withColumn("below", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "below")  # one row a part
+    w = Window.partitionBy("part").orderBy("s")
+    rows = rows.join(F.broadcast(below), "part").withColumn("lower", F.col("below") + F.sum("neg").over(w) - F.col("neg"))
+    total = rows.agg(F.sum(F.col("pos") * (F.col("lower") + F.col("neg") / 2)).alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return total.select((F.col("won") / F.when(F.col("p") * F.col("n") > 0, F.col("p") * F.col("n"))).alias("auc"))
 
 
 def fit_normaliser(long: DataFrame, feature: str = "feature", value: str = "value", floor: float = 1e-8) -> DataFrame:
@@ -112,6 +199,11 @@ def argmax(scores: Column) -> Column:
     return F.array_position(scores, F.array_max(scores)) - 1
 
 
+def masked(scores: Column, mask: Column) -> Column:
+    """Scores with -10,000 where the mask is 0, and none beyond 10,000 in size."""
+    return F.zip_with(scores, mask, lambda s, m: F.when(m == 0, -1e4).otherwise(F.least(F.greatest(s, F.lit(-1e4)), F.lit(1e4))))
+
+
 def attention_pool(values: Column, scores: Column) -> Column:
     """Sum of values weighted by the softmax of scores."""
     return F.aggregate(F.zip_with(values, softmax(scores), lambda v, a: v * a), F.lit(0.0), lambda s, x: s + x)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions import casts
 
 
 def micro20(df: DataFrame, flow: list[str], order: list[str]) -> DataFrame:
@@ -44,3 +46,37 @@ def time_split(df: DataFrame, flow: list[str], variants: int, length: int) -> Da
     out = df.withColumn("_n", n).withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))))
     start = F.when(F.col("_n") > length, F.col("variant") * F.floor(F.col("_n") / variants)).otherwise(F.lit(0))
     return out.withColumn("step", F.col("pos") - start).where((F.col("step") >= 0) & (F.col("step") < length)).drop("_n")
+
+
+#: The columns of a window's packet vector, and what stands where a table has no such column.
+WINDOW_FEATURES = (
+    "packet_length", "payload_length", "src_port", "dst_port", "protocol", "ip_version", "ip_ttl", "tcp_flags", "tcp_window", "icmp_type", "icmp_code",
+    "esp_spi", "ah_spi", "gre_protocol", "direction", "normalized_time", "inter_arrival", "length_ratio", "payload_ratio", "is_tcp",
+)
+MISSING = {"src_port": -1, "dst_port": -1, "ip_version": 4, "icmp_type": -1, "icmp_code": -1}
+
+
+def window_packets(df: DataFrame, window: list[str], order: list[str], n: int = 64, t: str = "t") -> DataFrame:
+    """The first n packets of each window, `pos` from 0, with the 20 columns of their vector; whole numbers are
+    read from text or numbers, and columns the table doesn't have get their usual value."""
+    w = Window.partitionBy(*window).orderBy(*order)
+    whole = {c: casts.to_int(F.col(c), MISSING.get(c, 0)) if c in df.columns else F.lit(MISSING.get(c, 0)).cast("long") for c in WINDOW_FEATURES[:15]}
+    cut = df.withColumn("pos", (F.row_number().over(w) - 1).cast("long")).where(F.col("pos") < n).withColumns(whole)
+    own = Window.partitionBy(*window).orderBy("pos")
+    length, pay = F.col("packet_length"), F.col("payload_length")
+    return cut.withColumns({
+        "normalized_time": F.col(t) - F.first(t).over(own), "inter_arrival": F.coalesce(F.col(t) - F.lag(t).over(own), F.lit(0.0)),
+        "length_ratio": F.when(length != 0, pay / F.when(length != 0, length)).otherwise(0.0), "payload_ratio": pay / float(n), "is_tcp": (F.col("protocol") == 6).cast("int"),
+    }).select(*window, "pos", *WINDOW_FEATURES)
+
+
+def bag(vector: Column, size: int = 100, width: int = 20) -> tuple[Column, Column]:
+    """(bag of `size` vectors with the given one, cut or filled to `width`, in the first place; its mask)."""
+    zero = F.lit(0.0).cast("float")
+    own = F.slice(F.concat(F.transform(vector, lambda x: x.cast("float")), F.array_repeat(zero, width)), 1, width)
+    return F.concat(F.array(own), F.array_repeat(F.array_repeat(zero, width), size - 1)), F.concat(F.array(F.lit(1.0).cast("float")), F.array_repeat(zero, size - 1))
+
+
+def variant_ordinal(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """variant_id: a row's number among the rows of its key, from 0."""
+    return df.withColumn("variant_id", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1)

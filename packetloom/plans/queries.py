@@ -6,7 +6,9 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import casts, keys, labels
 from ..operators import flows, learning as ml, micro
-from ..sources.tables import packets, table
+from ..sources import pcap, preserving
+from ..sources.tables import decoded, frames, packets, table
+from . import build
 
 FLOW, ORDER = ["flow_id"], ["t", "frame_index"]
 SESSION = ["flow_id", "session"]
@@ -238,13 +240,13 @@ def q_macro_norm(spark, sf):
     return out.select("flow_id", "k", *(F.round(clip(clip(F.col(c), 10) if c in RATIOS else (F.col(c) - F.col(f"a_{c}")) / F.col(f"s_{c}"), 5), 5).alias(c) for c in MACRO))
 
 
-@query(f"""WITH {H}, r AS (SELECT *, row_number() OVER w - 1 AS pos, t - first_value(t) OVER w AS since, coalesce(t - lag(t) OVER w, 0.0::DOUBLE) AS inter FROM h WINDOW w AS (PARTITION BY flow_id, k ORDER BY t, frame_index))
-SELECT flow_id, k, pos, CAST(floor(packet_length) AS BIGINT) AS packet_length, payload_length, protocol, round(since, 6) AS normalized_time, round(inter, 6) AS inter_arrival, round(CASE WHEN floor(packet_length) <> 0 THEN payload_length / floor(packet_length) ELSE 0 END, 6) AS length_ratio, round(payload_length / 64.0::DOUBLE, 6) AS payload_ratio, CAST(protocol = 6 AS INTEGER) AS is_tcp FROM r WHERE pos < 64""")
+@query(f"""WITH {P}, {H[len(P) + 2:].replace("FROM p WINDOW", "FROM e WINDOW", 1)}, r AS (SELECT *, row_number() OVER w - 1 AS pos, t - first_value(t) OVER w AS since, coalesce(t - lag(t) OVER w, 0.0::DOUBLE) AS inter FROM h WINDOW w AS (PARTITION BY flow_id, k ORDER BY t, frame_index))
+SELECT flow_id, k, pos, CAST(trunc(packet_length) AS BIGINT) AS packet_length, CAST(payload_length AS BIGINT) AS payload_length, CAST(src_port AS BIGINT) AS src_port, CAST(dst_port AS BIGINT) AS dst_port, CAST(protocol AS BIGINT) AS protocol, 4::BIGINT AS ip_version, 0::BIGINT AS ip_ttl, CAST(tcp_flags AS BIGINT) AS tcp_flags, 0::BIGINT AS tcp_window,
+  -1::BIGINT AS icmp_type, -1::BIGINT AS icmp_code, 0::BIGINT AS esp_spi, 0::BIGINT AS ah_spi, 0::BIGINT AS gre_protocol, CAST(direction AS BIGINT) AS direction, round(since, 6) AS normalized_time, round(inter, 6) AS inter_arrival, round(CASE WHEN trunc(packet_length) <> 0 THEN payload_length / trunc(packet_length) ELSE 0 END, 6) AS length_ratio, round(payload_length / 64.0::DOUBLE, 6) AS payload_ratio, CAST(protocol = 6 AS INTEGER) AS is_tcp FROM r WHERE pos < 64""")
 def q_micro_window(spark, sf):
-    w = Window.partitionBy("flow_id", "k").orderBy(*ORDER)
-    out = hops(spark, sf).withColumns({"pos": F.row_number().over(w) - 1, "since": F.col("t") - F.first("t").over(w), "inter": F.coalesce(F.col("t") - F.lag("t").over(w), F.lit(0.0)), "len": F.floor("packet_length")}).where("pos < 64")
-    share = F.when(F.col("len") != 0, F.col("payload_length") / F.when(F.col("len") != 0, F.col("len"))).otherwise(0.0)
-    return out.select("flow_id", "k", F.col("pos").cast("long").alias("pos"), F.col("len").alias("packet_length"), "payload_length", "protocol", r6("since", "normalized_time"), r6("inter", "inter_arrival"), r6(share, "length_ratio"), r6(F.col("payload_length") / 64.0, "payload_ratio"), (F.col("protocol") == 6).cast("int").alias("is_tcp"))
+    out = micro.window_packets(hops(spark, sf), ["flow_id", "k"], ORDER, 64)
+    exact = micro.WINDOW_FEATURES[:15]
+    return out.select("flow_id", "k", "pos", *exact, *(r6(c) for c in ("normalized_time", "inter_arrival", "length_ratio", "payload_ratio")), "is_tcp")
 
 
 # micro20 over the events: lengths scaled into the usual range, flags spelled out
@@ -308,7 +310,7 @@ def q_label_infer_debug(spark, sf):
     return _paths(spark, sf).select("event_id", labels.debug_traffic(F.col("path")).alias("traffic"), labels.debug_application(F.col("path")).alias("app"))
 
 
-CANON = "CASE x " + " ".join(f"WHEN '{n}' THEN '{label}'" for label, names in labels.TOKENS.items() for n in names) + " END"
+CANON = "CASE x " + " ".join(f"WHEN '{n}' THEN '{label}'" for n, label in labels.TOKENS.items()) + " END"
 
 
 @query(f"WITH {PATHS}, q AS (SELECT event_id, string_split(upper(path), '/') AS parts FROM w), r AS (SELECT event_id, list_filter(list_transform(list_concat(parts, regexp_split_to_array(parts[len(parts)], '[^A-Z0-9]+')), lambda x: {CANON}), lambda x: x IS NOT NULL) AS f FROM q) SELECT event_id, coalesce(f[1], 'UNKNOWN') AS secondary FROM r")
@@ -385,7 +387,7 @@ def q_manifest_override(spark, sf):
 @query("SELECT event_type AS label, count(*) AS rows, 1.0::DOUBLE AS match_rate FROM events GROUP BY event_type")
 def q_encode_audit(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.col("event_type").alias("label"))
-    d = F.broadcast(ml.dictionary(e, "label"))
+    d = ml.dictionary(e, "label")
     coded = e.join(d, "label").select("event_id", "id", "label")
     back = coded.join(d.withColumnRenamed("label", "decoded"), "id", "left").withColumn("decoded", F.coalesce("decoded", F.lit("UNKNOWN")))
     return back.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.avg((F.col("label") == F.col("decoded")).cast("double")).alias("match_rate"))
@@ -534,7 +536,8 @@ def q_norm_fit(spark, sf):
 def q_norm_apply(spark, sf):
     rows = _long(spark, sf)
     stats = ml.fit_normaliser(rows.where("vec_id % 5 <> 0"))
-    return rows.join(stats, "feature").select("vec_id", F.col("feature").cast("long").alias("feature"), F.round((F.col("value") - F.col("mean")) / F.col("std"), 5).alias("value"))
+    # one row a feature
+    return rows.join(F.broadcast(stats), "feature").select("vec_id", F.col("feature").cast("long").alias("feature"), F.round((F.col("value") - F.col("mean")) / F.col("std"), 5).alias("value"))
 
 
 @query(f"WITH {LONG} SELECT feature, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM lg GROUP BY feature")
@@ -579,12 +582,8 @@ def q_scores(spark, sf):
 
 @query("WITH r AS (SELECT label < 5 AS pos, rank() OVER (ORDER BY embedding[1]) + (count(*) OVER (PARTITION BY embedding[1]) - 1) / 2.0::DOUBLE AS rk FROM embeddings) SELECT round((sum(rk) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2.0::DOUBLE) / (count(*) FILTER (pos) * count(*) FILTER (NOT pos))::DOUBLE, 6) AS auc FROM r")
 def q_auc(spark, sf):
-    # counts of each score first; the running total is then over distinct scores
     s = table(spark, sf, "embeddings").select((F.col("label") < 5).alias("pos"), F.col("embedding")[0].alias("score"))
-    by = s.groupBy("score").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pos")).alias("p"))
-    rank = F.sum("n").over(Window.orderBy("score")) - F.col("n") + (F.col("n") + 1) / 2
-    a = by.select("p", "n", rank.alias("rank")).agg(F.sum(F.col("rank") * F.col("p")).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-    return a.select(r6((F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p"))), "auc"))
+    return ml.auc(s, "pos", "score").select(r6("auc"))
 
 
 COHEN = "co AS (SELECT feature, avg(value) FILTER (label < 5) AS a, avg(value) FILTER (label >= 5) AS b, var_pop(value) FILTER (label < 5) AS va, var_pop(value) FILTER (label >= 5) AS vb FROM lg GROUP BY feature), cd AS (SELECT feature, abs(a - b) / (sqrt((va + vb) / 2) + 1e-8) AS cohens_d, abs(a - b) / (abs(b) + 1e-8) AS difference FROM co)"
@@ -702,3 +701,102 @@ def q_source_summary(spark, sf):
 def q_feature_summary(spark, sf):
     n = observed(spark, sf).groupBy(*SESSION).agg(F.count(F.lit(1)).alias("packets"), (F.max("burst") + 1).alias("bursts"))
     return n.agg(F.count(F.lit(1)).alias("samples"), F.max("packets").alias("max_packets"), F.max(F.least("bursts", F.lit(16))).alias("max_bursts"), r6(F.avg("packets"), "mean_packets")).withColumns({"packet_slots": F.lit(PREFIX), "burst_slots": F.lit(BURSTS)})
+
+
+FIELDS = ("packet_length", "payload_length", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "ip_version", "ip_ttl", "tcp_flags", "tcp_window", "vlan_id", "ether_type")
+D = P + """, d AS (SELECT flow_id, frame_index, t, 34 + CASE WHEN frame_index % 4 = 0 THEN 4 ELSE 0 END + CASE WHEN protocol = 6 THEN 20 ELSE 8 END + payload_length AS packet_length, payload_length, src_ip, dst_ip, src_port, dst_port, protocol, 4 AS ip_version, 64 AS ip_ttl,
+  CASE WHEN protocol = 6 THEN tcp_flags ELSE 0 END AS tcp_flags, CASE WHEN protocol = 6 THEN 500 ELSE 0 END AS tcp_window, CASE WHEN frame_index % 4 = 0 THEN CAST(frame_index % 4000 AS INTEGER) ELSE -1 END AS vlan_id, 2048 AS ether_type FROM e)"""
+
+
+def _decoded(spark, sf):
+    """The events as frames of the wire, read by the decoder."""
+    tag = F.when(F.col("frame_index") % 4 == 0, F.array((F.col("frame_index") % 4000).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return decoded(frames(packets(spark, sf), tags=tag), pcap.decode, ", ".join(f"{c} {'string' if c.endswith('ip') else 'int'}" for c in FIELDS))
+
+
+@query(f"WITH {D} SELECT flow_id, frame_index, {', '.join(FIELDS)} FROM d")
+def q_decode_frames(spark, sf):
+    return _decoded(spark, sf).select("flow_id", "frame_index", *FIELDS)
+
+
+@query(f"""WITH {D}, k AS (SELECT *, CASE WHEN src_ip <= dst_ip THEN '5T_' || src_ip || '_' || dst_ip || '_' || src_port || '_' || dst_port ELSE '5T_' || dst_ip || '_' || src_ip || '_' || dst_port || '_' || src_port END || '_' || protocol AS base FROM d),
+l AS (SELECT *, lag(t) OVER w AS lt, lag(tcp_flags) OVER w AS lf FROM k WINDOW w AS (PARTITION BY base ORDER BY frame_index)),
+s AS (SELECT *, base || '_S' || CAST(sum(CASE WHEN lt IS NOT NULL AND ((protocol = 6 AND (lf & 5) <> 0) OR t - lt > 86400.0) THEN 1 ELSE 0 END) OVER (PARTITION BY base ORDER BY frame_index ROWS UNBOUNDED PRECEDING) AS BIGINT) AS flow FROM l)
+SELECT flow AS flow_id, '5T' AS key_type, any_value(protocol) AS protocol, count(*) AS packet_count, CAST(sum(packet_length) AS BIGINT) AS byte_count, round(min(t), 6) AS start_time, round(max(t) - min(t), 6) AS duration FROM s GROUP BY flow HAVING count(*) >= 2""")
+def q_capture_flows(spark, sf):
+    f, _ = build.capture_flows(_decoded(spark, sf).drop("flow_id").withColumns({"source": F.lit("events"), "skipped": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}), TIMEOUT, 2)
+    return f.select("flow_id", "key_type", "protocol", "packet_count", "byte_count", r6("start_time"), r6("duration"))
+
+
+KINDS_SQL = "CASE frame_index % 6 WHEN 0 THEN 6 WHEN 1 THEN 17 WHEN 2 THEN 1 WHEN 3 THEN 50 WHEN 4 THEN 51 ELSE 47 END"
+KEPT = ("packet_length", "vlan_ids", "src_mac", "dst_mac", "src_ip", "dst_ip", "protocol", "src_port", "dst_port", "tcp_seq", "tcp_ack", "tcp_flags", "tcp_window", "icmp_type", "icmp_code", "esp_spi", "ah_spi", "gre_protocol", "ip_ttl", "header_length", "payload_length")
+
+
+@query(f"""WITH {P}, k AS (SELECT *, {KINDS_SQL} AS kind, CASE WHEN frame_index % 5 = 0 THEN 2 ELSE 0 END AS tags, CAST(frame_index % 4000 AS INTEGER) AS tag FROM e), z AS (SELECT *, CASE kind WHEN 6 THEN 20 WHEN 1 THEN 4 WHEN 47 THEN 4 ELSE 8 END AS size FROM k)
+SELECT frame_index, 34 + 4 * tags + size + payload_length AS packet_length, CASE WHEN tags = 2 THEN '7|' || tag ELSE '' END AS vlan_ids, '02:02:02:02:02:02' AS src_mac, '01:01:01:01:01:01' AS dst_mac, src_ip, dst_ip, kind AS protocol, CASE WHEN kind IN (6, 17) THEN src_port ELSE -1 END AS src_port, CASE WHEN kind IN (6, 17) THEN dst_port ELSE -1 END AS dst_port,
+  CAST(CASE WHEN kind = 6 THEN 1 ELSE 0 END AS BIGINT) AS tcp_seq, CAST(CASE WHEN kind = 6 THEN 2 ELSE 0 END AS BIGINT) AS tcp_ack, CASE WHEN kind = 6 THEN tcp_flags ELSE 0 END AS tcp_flags, CASE WHEN kind = 6 THEN 500 ELSE 0 END AS tcp_window, CASE WHEN kind = 1 THEN 8 ELSE -1 END AS icmp_type, CASE WHEN kind = 1 THEN CAST(frame_index % 200 AS INTEGER) ELSE -1 END AS icmp_code,
+  CASE WHEN kind = 50 THEN frame_index ELSE 0 END AS esp_spi, CASE WHEN kind = 51 THEN frame_index ELSE 0 END AS ah_spi, CASE WHEN kind = 47 THEN 2048 ELSE 0 END AS gre_protocol, 64 AS ip_ttl, 34 + 4 * tags + size AS header_length, payload_length FROM z""")
+def q_preserve_frames(spark, sf):
+    i, hx = F.col("frame_index"), lambda c, n: F.lpad(F.hex(c), n, "0")
+    kind = F.element_at(F.array(*(F.lit(x) for x in (6, 17, 1, 50, 51, 47))), (i % 6 + 1).cast("int"))
+    ports = F.concat(hx(F.col("src_port"), 4), hx(F.col("dst_port"), 4))
+    header = (
+        F.when(i % 6 == 0, F.concat(ports, F.lit("000000010000000250"), hx(F.col("tcp_flags"), 2), F.lit("01F400000000"))).when(i % 6 == 1, F.concat(ports, F.lit("00000000")))
+        .when(i % 6 == 2, F.concat(F.lit("08"), hx(i % 200, 2), F.lit("0000"))).when(i % 6 == 3, F.concat(hx(i, 8), F.lit("00000000"))).when(i % 6 == 4, F.concat(F.lit("00000000"), hx(i, 8))).otherwise("00000800")
+    )
+    tag = F.when(i % 5 == 0, F.array(F.lit(7), (i % 4000).cast("int"))).otherwise(F.array().cast("array<int>"))
+    kinds = {c: "string" if c.endswith(("ip", "mac", "ids")) else "long" if c in ("tcp_seq", "tcp_ack", "esp_spi", "ah_spi") else "int" for c in KEPT}
+    rows = frames(packets(spark, sf).withColumn("kind", kind), "kind", tag, header)
+    return decoded(rows, preserving.decode, ", ".join(f"{c} {k}" for c, k in kinds.items())).select("frame_index", *KEPT)
+
+
+@query(f"""WITH {P}, x0 AS (SELECT *, row_number() OVER (PARTITION BY flow_id ORDER BY t, frame_index) - 1 AS pos FROM p), x1 AS (SELECT *, greatest(0.0::DOUBLE, coalesce(t - lag(t) OVER w, 0.0::DOUBLE)) AS iat, lag(direction) OVER w AS ld FROM x0 WHERE pos < 32 WINDOW w AS (PARTITION BY flow_id ORDER BY pos)),
+x2 AS (SELECT *, coalesce(quantile_cont(iat, 0.5) FILTER (iat > 0) OVER w + (quantile_cont(iat, 0.75) FILTER (iat > 0) OVER w - quantile_cont(iat, 0.25) FILTER (iat > 0) OVER w), 0.0::DOUBLE) AS threshold FROM x1 WINDOW w AS (PARTITION BY flow_id)),
+b AS (SELECT *, sum(CASE WHEN ld IS NOT NULL AND (direction <> ld OR iat > threshold) THEN 1 ELSE 0 END) OVER (PARTITION BY flow_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS burst FROM x2)
+SELECT CAST(flow_id AS VARCHAR) AS flow_id, 32 AS packet_slots, CAST(count(*) AS BIGINT) AS packets, 8 AS burst_slots, CAST(least(max(burst) + 1, 8) AS BIGINT) AS bursts, CAST(count(*) FILTER (burst < 8) AS BIGINT) AS packets_in_bursts, CAST(sum(burst) AS BIGINT) AS burst_ids, CAST(sum(direction) AS BIGINT) AS directions FROM b GROUP BY flow_id""")
+def q_feature_sequences(spark, sf):
+    p = packets(spark, sf).select(F.lit("events").alias("source_key"), F.col("flow_id").cast("string").alias("flow_id"), "src_ip", "dst_ip", "src_port", "dst_port", "t", F.col("direction").cast("double").alias("direction"), "packet_length", "payload_length", F.lit(0.0).alias("ip_ttl"), "protocol", "tcp_flags", F.lit(0).alias("block"), F.col("frame_index").alias("row"))
+    out = build.sequences(p, 32, 8)
+    total = lambda c, i=None: F.aggregate(c, F.lit(0.0), lambda s, x: s + (x if i is None else x[i]).cast("double")).cast("long")
+    return out.select("flow_id", F.size("packet_seq").alias("packet_slots"), total("packet_mask").alias("packets"), F.size("burst_seq").alias("burst_slots"), total("burst_mask").alias("bursts"), total("burst_seq", 1).alias("packets_in_bursts"), total("packet_seq", 9).alias("burst_ids"), total("packet_seq", 2).alias("directions"))
+
+
+NAMED = "CASE upper(c) " + " ".join(f"WHEN '{t}' THEN '{t}'" for t in labels.WINDOW_APPLICATIONS) + " " + " ".join(f"WHEN '{n}' THEN '{x}'" for n, x in labels.TOKENS.items() if n not in labels.WINDOW_APPLICATIONS) + " END"
+
+
+@query(f"""WITH c AS (SELECT user_id, event_id, CASE WHEN event_id % 7 = 0 THEN 'vpn' WHEN event_id % 11 = 0 THEN 'Quic' WHEN event_id % 3 = 0 THEN 'none' END AS tl, CASE event_id % 9 WHEN 0 THEN 'skype' WHEN 4 THEN 'Youtube' WHEN 5 THEN 'chat' END AS c, CASE user_id % 3 WHEN 0 THEN 'VPN/imap.csv' WHEN 1 THEN 'tor/gaming/x.csv' ELSE 'plain/ftp.csv' END AS path FROM events),
+n AS (SELECT *, CASE WHEN upper(tl) IN ('VPN', 'OTHER', 'TOR', 'QUIC') THEN upper(tl) END AS t, {NAMED} AS a FROM c),
+g AS (SELECT user_id, arg_min(t, event_id) FILTER (t IS NOT NULL) AS t, arg_min(a, event_id) FILTER (a IS NOT NULL) AS a FROM n GROUP BY 1)
+SELECT user_id, coalesce(t, CASE user_id % 3 WHEN 0 THEN 'VPN' WHEN 1 THEN 'TOR' ELSE 'OTHER' END) AS primary_label, CASE WHEN coalesce(t, CASE user_id % 3 WHEN 0 THEN 'VPN' WHEN 1 THEN 'TOR' ELSE 'OTHER' END) = 'OTHER' THEN 'UNKNOWN' ELSE coalesce(a, CASE user_id % 3 WHEN 0 THEN 'MAIL' WHEN 1 THEN 'GAMING' ELSE 'FILE' END) END AS secondary FROM g""")
+def q_file_labels(spark, sf):
+    i, u = F.col("event_id"), F.col("user_id")
+    rows = table(spark, sf, "events").select(
+        "user_id", "event_id", F.when(i % 7 == 0, "vpn").when(i % 11 == 0, "Quic").when(i % 3 == 0, "none").alias("traffic_label"), F.when(i % 9 == 0, "skype").when(i % 9 == 4, "Youtube").when(i % 9 == 5, "chat").alias("app"),
+        F.when(u % 3 == 0, "VPN/imap.csv").when(u % 3 == 1, "tor/gaming/x.csv").otherwise("plain/ftp.csv").alias("path"),
+    )
+    return labels.file_labels(rows, "user_id", "path", ["event_id"]).withColumnRenamed("primary", "primary_label")
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS variant_id FROM events")
+def q_variant_ordinal(spark, sf):
+    return micro.variant_ordinal(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", F.col("variant_id").cast("long").alias("variant_id"))
+
+
+@query("SELECT vec_id, 100 AS slots, 1.0::DOUBLE AS filled, round(list_sum(embedding[1:20])::DOUBLE, 3) AS total FROM embeddings")
+def q_feature_bag(spark, sf):
+    own, mask = micro.bag(F.col("embedding"))
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return table(spark, sf, "embeddings").select("vec_id", own.alias("b"), mask.alias("m")).select("vec_id", F.size("b").alias("slots"), add("m").alias("filled"), F.round(add(F.flatten("b")), 3).alias("total"))
+
+
+@query("""WITH m AS (SELECT vec_id, list_transform(range(1, 33), lambda i: CASE WHEN (i + vec_id) % 3 = 0 THEN -10000.0::DOUBLE ELSE least(greatest(embedding[i + 32]::DOUBLE, -10000.0), 10000.0) END) AS s, embedding AS e FROM embeddings)
+SELECT vec_id, round(list_sum(list_transform(range(1, 33), lambda i: e[i]::DOUBLE * exp(s[i] - list_max(s)))) / list_sum(list_transform(s, lambda x: exp(x - list_max(s)))), 6) AS pooled FROM m""")
+def q_masked_pool(spark, sf):
+    part = lambda a: F.transform(F.slice("embedding", a, 32), lambda x: x.cast("double"))
+    mask = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.when((i + F.col("vec_id")) % 3 == 0, 0).otherwise(1))
+    return table(spark, sf, "embeddings").select("vec_id", r6(ml.attention_pool(part(1), ml.masked(part(33), mask)), "pooled"))
+
+
+@query("WITH r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id), vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings) SELECT vec_id, label, CASE WHEN r <= round_even(n * 0.2::DOUBLE, 0) THEN 'test' ELSE 'train' END AS split FROM r")
+def q_stratified_split(spark, sf):
+    return ml.stratified_split(table(spark, sf, "embeddings").select("vec_id", "label"), "label", "vec_id").select("vec_id", "label", "split")

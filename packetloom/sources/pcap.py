@@ -1,20 +1,24 @@
 """Captures as packet rows: pcap and pcapng files, decoded on the executors.
 
-Files are read by Spark's binaryFile source, so any store that Spark reads will do; a file is one row and
-one task's work.  A file that breaks off gives the frames before the break and its error.
+Files are read by Spark's binaryFile source, so any store that Spark reads will do; a file is one row (2 GB
+at most) and is decoded where it is read, without a shuffle of its bytes.  A file that breaks off gives
+the frames before the break and its error.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SCHEMA = (
-    "source string, frame_index long, ts_us long, t double, packet_length int, payload_length int, src_ip string, dst_ip string, src_port int, dst_port int, "
-    "protocol int, ip_version int, ip_ttl int, tcp_flags int, tcp_window int, vlan_id int, ether_type int, skipped string, error string"
+    "source string, frame_index long, packet_index long, ts_us long, t double, packet_length int, payload_length int, src_ip string, dst_ip string, src_port int, dst_port int, "
+    "protocol int, ip_version int, ip_ttl int, tcp_flags int, tcp_window int, vlan_id int, ether_type int, skipped string, error string, decode_sec double"
 )
+#: Names of capture files, as a regular expression over the path; and the looser form of the second decoder.
+CAPTURES, ANY_CAPTURE = r"(?i)\.pcap(ng)?$", r"\.pcap[^/]*$"
 IPV4, IPV6 = 0x0800, 0x86DD
 VLAN_TAGS = (0x8100, 0x88A8)
 #: IPv6 extension headers that are walked over: hop-by-hop, routing, fragment, destination, authentication.
@@ -140,43 +144,53 @@ def decode(raw: bytes) -> dict:
     }
 
 
-def rows(source: str, raw: bytes) -> Iterator[dict]:
-    index = 0
+def rows(source: str, raw: bytes, decode: Callable[[bytes], dict] = decode) -> Iterator[dict]:
+    """A row for each frame; a last one, without a frame, with the seconds it took and the error if there was one."""
+    kept, began, error = 0, time.monotonic(), None
     try:
         for index, (us, frame) in enumerate(frames(raw), 1):
-            yield {"source": source, "frame_index": index, "ts_us": us, "t": us / 1e6, **decode(frame)}
+            row = {"source": source, "frame_index": index, "packet_index": kept, "ts_us": us, "t": us / 1e6, **decode(frame)}
+            kept += "skipped" not in row
+            yield row
     except (ValueError, struct.error, IndexError) as e:
-        yield {"source": source, "frame_index": index + 1, "error": str(e)}
+        error = str(e)
+    yield {"source": source, "skipped": "end", "error": error, "decode_sec": time.monotonic() - began}
 
 
-def read(spark: SparkSession, path: str, batch: int = 20_000) -> DataFrame:
-    """Packet rows of all .pcap and .pcapng files below path.  Frames that are no packets have only
-    `skipped`, broken files a last row with `error`."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").rlike(r"(?i)\.pcap(ng)?$"))
+def read(spark: SparkSession, path: str, batch: int = 10_000, pattern: str = CAPTURES, decode: Callable[[bytes], dict] = decode, schema: str = SCHEMA) -> DataFrame:
+    """Packet rows of all files below path whose names match.  Frames that are no packets have only
+    `skipped`; each file has a last row, skipped as "end", with `decode_sec` and its `error`, if any."""
+    import pyarrow as pa
 
-    def run(parts):
-        import pandas as pd
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").rlike(pattern))
+    kind = to_arrow_schema(StructType.fromDDL(schema))
 
-        columns = [c.strip().split(" ")[0] for c in SCHEMA.split(",")]
+    def run(parts):
         for part in parts:
-            for source, raw in zip(part["path"], part["content"]):
+            for source, raw in zip(part.column(0), part.column(1)):
                 held = []
-                for row in rows(source, bytes(raw)):
+                for row in rows(source.as_py(), raw.as_py(), decode):
                     held.append(row)
                     if len(held) == batch:
-                        yield pd.DataFrame(held, columns=columns).astype(object)
+                        yield pa.RecordBatch.from_pylist(held, kind)
                         held = []
                 if held:
-                    yield pd.DataFrame(held, columns=columns).astype(object)
+                    yield pa.RecordBatch.from_pylist(held, kind)
 
-    return files.select("path", "content").repartition("path").mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
 def packets(df: DataFrame) -> DataFrame:
-    return df.where("skipped is null and error is null")
+    return df.where("skipped is null")
 
 
 def source_status(df: DataFrame) -> DataFrame:
-    """One row for each file: packets, skipped frames, TCP and UDP packets, error."""
-    kept = F.col("skipped").isNull() & F.col("error").isNull()
-    return df.groupBy("source").agg(F.count_if(kept).alias("packets"), F.count_if(F.col("skipped").isNotNull()).alias("skipped"), F.count_if(F.col("protocol") == 6).alias("tcp"), F.count_if(F.col("protocol") == 17).alias("udp"), F.max("error").alias("error"))
+    """One row for each file: packets, skipped frames, TCP and UDP packets, decode_sec, error."""
+    kept, skipped = F.col("skipped").isNull(), F.coalesce(F.col("skipped"), F.lit("end")) != "end"
+    return df.groupBy("source").agg(
+        F.count_if(kept).alias("packets"), F.count_if(skipped).alias("skipped"), F.count_if(F.col("protocol") == 6).alias("tcp"), F.count_if(F.col("protocol") == 17).alias("udp"),
+        F.max("decode_sec").alias("decode_sec"), F.max("error").alias("error"),
+    )

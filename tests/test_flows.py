@@ -1,5 +1,7 @@
+import hashlib
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,28 +9,51 @@ from packetloom.functions import casts, keys, labels
 from packetloom.operators import flows, learning as ml
 from packetloom.sources import pcap
 
-PACKETS = [(0.000, 100, 60, 1, 16), (0.010, 120, 80, 1, 16), (0.020, 300, 250, -1, 24), (0.021, 280, 240, -1, 24), (0.500, 90, 50, -1, 16)]
+#: Two flows, as (flow, t, length, payload, direction): gaps of 2, 2, 40, 2, 2, 2 ms in the first; none in the second.
+ROWS = [
+    ("a", 5.000, 60, 0, 1), ("a", 5.002, 60, 0, 1), ("a", 5.004, 1400, 1340, 1), ("a", 5.044, 900, 840, 1), ("a", 5.046, 52, 0, -1), ("a", 5.048, 52, 0, -1), ("a", 5.050, 700, 640, 1),
+    ("b", 9.0, 77, 25, -1),
+]
 
 
 @pytest.fixture(scope="module")
 def packets(spark):
-    return spark.createDataFrame([("f", i, *p) for i, p in enumerate(PACKETS)], "flow_id string, frame_index long, t double, packet_length int, payload_length int, direction int, tcp_flags int")
+    return spark.createDataFrame([(f, i, *p) for i, (f, *p) in enumerate(ROWS)], "flow_id string, frame_index long, t double, packet_length int, payload_length int, direction int")
 
 
-def test_bursts(packets):
-    ids = lambda **k: [r.burst for r in flows.observed(packets, ["flow_id"], 64, **k).orderBy("pos").collect()]
-    assert ids() == [0, 0, 1, 1, 2]
-    assert ids(fixed=0.005) == [0, 1, 2, 2, 3]
-    b = flows.burst_rows(flows.observed(packets, ["flow_id"], 64), ["flow_id"], 4).orderBy("burst").collect()
-    assert [(r.packet_count, r.byte_sum, r.burst_direction) for r in b] == [(2, 220, 1), (2, 580, -1), (1, 90, -1)]
-    assert b[1].mean_iat == pytest.approx(0.0055) and b[1].std_iat == pytest.approx(0.0045) and b[2].gap == pytest.approx(0.479)
-    assert [(r.is_first, r.is_last) for r in b] == [(1, 0), (0, 0), (0, 1)]
-    p = flows.packet_rows(flows.observed(packets, ["flow_id"], 64), ["flow_id"]).orderBy("pos").collect()
-    assert [r.pos_in_burst for r in p] == [0, 1, 0, 1, 0]
+def plain(rows, alpha=1.0, fixed=None):
+    """Burst numbers, one packet after another."""
+    gaps = [0.0, *(max(0.0, b[1] - a[1]) for a, b in zip(rows, rows[1:]))]
+    above = [g for g in gaps if g > 0]
+    limit = fixed if fixed is not None else (np.median(above) + alpha * (np.quantile(above, 0.75) - np.quantile(above, 0.25)) if above else 0.0)
+    out = [0]
+    for a, b, g in zip(rows, rows[1:], gaps[1:]):
+        out.append(out[-1] + (a[4] != b[4] or g > limit))
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"fixed": 0.01}, {"fixed": 0.001}, {"alpha": 100.0}])
+def test_bursts(packets, options):
+    got = flows.observed(packets, ["flow_id"], 64, **options).orderBy("flow_id", "pos").collect()
+    for f in "ab":
+        assert [r.burst for r in got if r.flow_id == f] == plain([r for r in ROWS if r[0] == f], **options)
+
+
+def test_burst_and_packet_rows(packets):
+    seen = flows.observed(packets, ["flow_id"], 64, fixed=0.01)
+    b = {(r.flow_id, r.burst): r for r in flows.burst_rows(seen, ["flow_id"], 3).collect()}
+    # three packets, one alone, two back, and a fourth burst beyond the cap
+    assert {k: (r.packet_count, r.byte_sum, r.burst_direction, r.is_first, r.is_last) for k, r in b.items()} == {
+        ("a", 0): (3, 1520, 1, 1, 0), ("a", 1): (1, 900, 1, 0, 0), ("a", 2): (2, 104, -1, 0, 1), ("b", 0): (1, 77, -1, 1, 1),
+    }
+    assert b["a", 1].gap == pytest.approx(0.04) and b["a", 0].mean_iat == pytest.approx(0.002) and b["a", 0].std_iat == pytest.approx(0, abs=1e-9)
+    p = flows.packet_rows(seen, ["flow_id"]).where("flow_id = 'a'").orderBy("pos").collect()
+    assert [(r.pos_in_burst, r.burst_size, r.is_burst_end) for r in p] == [(0, 3, 0), (1, 3, 0), (2, 3, 1), (0, 1, 1), (0, 2, 0), (1, 2, 1), (0, 1, 1)]
 
 
 def test_prefix_comes_first(packets):
-    rows = flows.packet_rows(flows.observed(packets.withColumn("direction", F.lit(1)), ["flow_id"], 2, fixed=1.0), ["flow_id"]).collect()
+    # behind the cut there is nothing: the third packet of the burst doesn't count
+    rows = flows.packet_rows(flows.observed(packets, ["flow_id"], 2), ["flow_id"]).where("flow_id = 'a'").collect()
     assert [r.burst_size for r in rows] == [2, 2]
 
 
@@ -46,9 +71,8 @@ def test_one_shuffle(packets):
 
 def test_labels(spark):
     want = {
-        "Tor/Browsing_packets.csv": ("TOR", "BROWSING"), "Tor/Email_packets.csv": ("TOR", "EMAIL"), "Tor/P2P_packets.csv": ("TOR", "P2P"),
-        "NonTor/Video-Streaming_packets.csv": ("NONTOR", "VIDEO"), "Non-Tor/FileTransfer_packets.csv": ("NONTOR", "FILE"), "Tor/VOIP_packets.csv": ("TOR", "VOIP"),
-        "experiment/x.csv": ("OTHER", "UNKNOWN"), "VPN_AUDIO_packets.csv": ("VPN", "AUDIO"),
+        "caps/2020/tor/web/run7_packets.csv": ("TOR", "BROWSING"), "tormail.pcap": ("TOR", "EMAIL"), "x/NonTOR_p2p_3.csv": ("NONTOR", "P2P"), "non-vpn/skype call.csv": ("NONVPN", "VOIP"),
+        "quic/im.csv": ("QUIC", "CHAT"), "storage/notes.csv": ("OTHER", "UNKNOWN"), "myvpn/transfer-1.csv": ("VPN", "FILE"), "C:\\caps\\tor\\audio.csv": ("TOR", "AUDIO"),
     }
     df = spark.createDataFrame([(p,) for p in want], "path string")
     got = {r.path: (r.p, r.a) for r in df.select("path", labels.primary(F.col("path")).alias("p"), labels.application(F.col("path")).alias("a")).collect()}
@@ -67,17 +91,61 @@ def test_keys(spark):
     assert got == ["5T_10.0.0.1_10.0.0.2_5_80_6"] * 2 + ["3T_a_b_1", "P_17"]
 
 
-def test_splits_and_samples(spark):
-    df = spark.createDataFrame([(x, y) for x, y in zip("aabbccdd", [0, 0, 0, 0, 1, 1, 1, 1])], "g string, label int")
-    split = {r.g: r.split for r in ml.group_split(df, "g", "label", 0.25, 0.25).collect()}
-    assert sorted(split.values()) == ["test", "train", "train", "val"]
-    assert split == {r.g: r.split for r in ml.group_split(df, "g", "label", 0.25, 0.25).collect()}
-    assert ml.split_counts(10, 0.25, 0.25) == (2, 2) and ml.split_counts(3, 0.5, 0.5) == (1, 1)
+def test_splits(spark):
+    rows = [(f"cap{i % 23:02d}", (i * i) % 4) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, label int")
+    got = {r.g: r.split for r in ml.group_split(df, "g", "label", 0.2, 0.1).collect()}
+    v, t = ml.split_counts(23, 0.2, 0.1)
+    assert [list(got.values()).count(x) for x in ("val", "test", "train")] == [v, t, 23 - v - t]
+    order = sorted(got, key=lambda g: hashlib.md5(f"42:{g}".encode()).hexdigest())
+    assert [got[g] for g in order] == ["test"] * t + ["val"] * v + ["train"] * (23 - v - t)
+    for n, x, y in ((3, 0.5, 0.49), (3, 0.49, 0.5), (4, 0.45, 0.45), (5, 0.0, 0.9), (6, 0.9, 0.0)):
+        own = [r.split for r in ml.group_split(df.where(F.col("g") < f"cap{n:02d}"), "g", "label", x, y).collect()]
+        assert (own.count("val"), own.count("test")) == ml.split_counts(n, x, y)
+    for make in (ml.group_split, ml.group_split_exact):
+        with pytest.raises(Exception, match="three groups"):
+            make(df.where("g < 'cap02'"), "g", "label").collect()
+
+
+def test_exact_split_is_the_seeded_permutation(spark):
+    rows = [(f"g{i % 11}", (i // 3) % 3) for i in range(200)]
+    by = {}
+    for g, x in rows:
+        by.setdefault(g, []).append(x)
+    order = sorted(by, key=lambda g: (max(sorted(set(by[g])), key=by[g].count), g))
+    mixed = [order[i] for i in np.random.default_rng(5).permutation(len(order))]
+    got = {r.g: r.split for r in ml.group_split_exact(spark.createDataFrame(rows, "g string, label int"), "g", "label", 0.3, 0.2, 5).collect()}
+    v, t = ml.split_counts(11, 0.3, 0.2)
+    assert got == {g: "test" if i < t else "val" if i < t + v else "train" for i, g in enumerate(mixed)}
+
+
+def test_samples(spark):
+    rows = [(s, f"{s}-{i}") for s, n in (("big", 400), ("small", 7), ("one", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows + rows[:9] + [("big", None)], "source string, key string")
+    count = lambda got: {r.source: r["count"] for r in got.groupBy("source").count().collect()}
+    assert count(ml.sample(df, "source", "key", 0.1, 7)) == {"big": 40, "small": 1, "one": 1}
+    assert count(ml.sample(df, "source", "key", 0.1, 7, 20, 3)) == {"big": 20, "small": 3, "one": 1}
+    got = sorted(r.key for r in ml.sample(df, "source", "key", 0.1, 7).where("source = 'big'").collect())
+    assert got == sorted(sorted((k for s, k in rows if s == "big"), key=lambda k: hashlib.md5(f"7:{k}".encode()).hexdigest())[:40])
+    exact = {}
+    for r in ml.sample_exact(df, "source", "key", 0.05, 11, 15).collect():
+        exact.setdefault(r.source, []).append(r.key)
+    own = sorted(k for s, k in rows if s == "big")
+    assert sorted(exact["big"]) == sorted(own[i] for i in np.random.default_rng(11).choice(400, size=15, replace=False))
+    assert len(exact["small"]) == 1 and ml.draw([], 0.5, 1) == []
     with pytest.raises(ValueError):
-        ml.group_split(df.where("g < 'c'"), "g", "label")
-    ids = spark.createDataFrame([("s", str(i)) for i in range(20)], "source string, key string")
-    assert ml.sample(ids, "source", "key", 0.8, 7, 5).count() == 5 and ml.sample(ids, "source", "key", 0.01, 7).count() == 1
-    assert len(ml.sample_exact(spark, range(20), 0.8, 7, 5)) == 5
+        ml.sample(df, "source", "key", 0.0, 7)
+
+
+def test_auc(spark):
+    r = np.random.default_rng(3)
+    rows = [(bool(r.random() < 0.3), float(round(r.normal(), 1))) for _ in range(700)] + [(True, float("-inf")), (False, 1e300)]
+    pos, neg = [s for p, s in rows if p], [s for p, s in rows if not p]
+    want = np.mean([(a > b) + (a == b) / 2 for a in pos for b in neg])
+    df = spark.createDataFrame([*rows, (None, 1.0), (True, None)], "p boolean, s double")
+    for parts in (512, 3):
+        assert ml.auc(df, "p", "s", parts).first()[0] == pytest.approx(want)
+    assert ml.auc(df.where("p"), "p", "s").first()[0] is None and ml.auc(df.limit(0), "p", "s").first()[0] is None
 
 
 def ipv4(protocol, body, vlan=None, sip=b"\x0a\0\0\1", dip=b"\x0a\0\0\2"):
@@ -113,7 +181,7 @@ def test_pcap(spark, tmp_path):
     (tmp_path / "notes.pcap.txt").write_text("no")
     df = pcap.read(spark, str(tmp_path)).persist()
     for name in ("a.pcap", "b.PCAPNG"):
-        own = df.where(F.col("source").endswith(name)).orderBy("frame_index").collect()
+        own = df.where(F.col("source").endswith(name)).where("skipped is null or skipped <> 'end'").orderBy("frame_index").collect()
         assert [(r.ts_us, r.protocol, r.payload_length, r.src_port, r.vlan_id, r.ip_version) for r in own[:3]] == [(7_000_000, 6, 20, 1234, -1, 4), (7_000_001, 17, 32, 53, 5, 4), (7_000_002, 17, 32, 53, -1, 6)]
         assert own[0].tcp_flags == 0x11 and own[0].src_ip == "10.0.0.1" and own[2].src_ip == "0001:0203:0405:0607:0809:0a0b:0c0d:0e0f"
         assert own[3].skipped == "non_ip_ethertype" and own[4].src_port == 1234 and own[4].ether_type == 0x0800
@@ -123,11 +191,16 @@ def test_pcap(spark, tmp_path):
 
 
 def test_payload_length():
-    tcp = bytearray(80)
-    tcp[52] = 5 << 4
-    assert pcap.payload_length(bytes(tcp), 40, 6, 80) == 20
-    assert pcap.payload_length(bytes(80), 40, 17, 80) == 32
-    assert pcap.payload_length(bytes(45), 40, 17, 80) == 0
+    for protocol, header in ((6, 20), (6, 32), (17, 8), (1, 0)):
+        for l4 in (34, 54):
+            for size in (0, 1, 13):
+                raw = bytearray(l4 + header + size + 6)  # six bytes of padding behind the packet
+                if protocol == 6:
+                    raw[l4 + 12] = header // 4 << 4
+                assert pcap.payload_length(bytes(raw), l4, protocol, l4 + header + size) == size
+                cut = bytes(raw[: l4 + max(header - 1, 0)])
+                assert pcap.payload_length(cut, l4, protocol, l4 + header + size) == 0
+    assert pcap.payload_length(bytes(100), 34, 6, 90) == 0  # a header of no length
 
 
 def test_stream_equals_batch(spark, tmp_path):
