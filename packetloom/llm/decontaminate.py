@@ -252,3 +252,46 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
 
 def op4_benchmark_decontamination(spark, sf_dir) -> DataFrame:
     return leaks(shared.documents(spark, sf_dir), shared.documents(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+#: The exact similarity of every window that shares a shingle with an item, without fingerprints.
+OP4_SQL = (
+    "WITH b AS (SELECT row_number() OVER () AS b, item_id, "
+    + _WORDS
+    + """ AS w FROM benchmark
+), i AS (
+  SELECT *, len(w) AS size, least(len(w), 5) AS k, (SELECT count(*) FROM benchmark) AS total FROM b WHERE len(w) > 0
+), ig0 AS (
+  SELECT b, k, list_aggregate(w[x:x + k - 1], 'string_agg', ' ') AS g FROM (SELECT *, unnest(range(1, size - k + 2)) AS x FROM i)
+), ig AS (
+  SELECT b, k, g, count(*) AS c FROM ig0 GROUP BY ALL
+), weight AS (
+  SELECT k, g, ln(1 + (SELECT count(*) FROM benchmark) / count(*)::DOUBLE) AS wt FROM ig GROUP BY ALL
+), whole AS (
+  SELECT b, sum(c * wt) AS total FROM ig JOIN weight USING (k, g) GROUP BY b
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, """
+    + _WORDS
+    + """ AS w FROM documents
+), dg AS (
+  SELECT r, x - 1 AS p, k, list_aggregate(w[x:x + k - 1], 'string_agg', ' ') AS g FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS x FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k)
+), met AS (
+  SELECT dg.r, dg.p, ig.b FROM dg JOIN ig USING (k, g)
+), shape AS (
+  SELECT DISTINCT met.r, met.b, met.p, i.k, least(i.size, len(d.w)) AS n, len(d.w) AS words, i.size FROM met JOIN i USING (b) JOIN d USING (r)
+), start AS (
+  SELECT DISTINCT r, b, k, n, unnest(range(greatest(0, p - (n - k)), least(p, words - n) + 1)) AS s FROM shape WHERE n = size OR n >= 0.8 * size
+), own AS (
+  SELECT start.r, start.b, start.s, start.n, start.k, dg.g, count(*) AS c FROM start JOIN dg ON dg.r = start.r AND dg.k = start.k AND dg.p BETWEEN start.s AND start.s + start.n - start.k GROUP BY ALL
+), sums AS (
+  SELECT own.r, own.b, own.s, own.n, sum(own.c * coalesce(weight.wt, ln(1 + (SELECT count(*) FROM benchmark)))) AS mine, sum(least(own.c, ig.c) * weight.wt) AS common
+  FROM own LEFT JOIN weight ON weight.k = own.k AND weight.g = own.g LEFT JOIN ig ON ig.b = own.b AND ig.g = own.g GROUP BY ALL
+), sim AS (
+  SELECT sums.r, sums.b, sums.s, sums.n, common / (mine + whole.total - common) AS similarity FROM sums JOIN whole USING (b) WHERE common > 0
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY r, b ORDER BY round(similarity, 9) DESC, s) AS rank FROM sim WHERE similarity >= 0.8 - 1e-9
+)
+SELECT d.doc_id, b.item_id, best.s AS first_word, best.n AS n_words, round(best.similarity, 6) AS similarity FROM best JOIN d USING (r) JOIN b USING (b) WHERE rank = 1
+"""
+)

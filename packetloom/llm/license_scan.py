@@ -227,3 +227,35 @@ def scan(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT)
 
 def op10_license_scan(spark, sf_dir) -> DataFrame:
     return scan(shared.documents(spark, sf_dir))
+
+
+_WORDS = r"regexp_extract_all(lower({}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+#: Every window that holds a shingle of the template, without any index.
+OP10_SQL = (
+    "WITH t AS (SELECT template, w, len(w) AS size, least(len(w), 5) AS k, (len(w) + 1) // 2 AS step FROM (SELECT template, "
+    + _WORDS.format("text")
+    + " AS w FROM (VALUES "
+    + ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in pair)) for pair in TEMPLATES)
+    + ") v(template, text)))"
+    + """, tg AS (
+  SELECT DISTINCT template, size, k, step, list_aggregate(w[i:i + k - 1], 'string_agg', ' ') AS g FROM (SELECT *, unnest(range(1, size - k + 2)) AS i FROM t)
+), tn AS (
+  SELECT template, count(*) AS n FROM tg GROUP BY template
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id, """
+    + _WORDS.format("text")
+    + """ AS w FROM documents
+), dg AS (
+  SELECT r, i - 1 AS p, k, list_aggregate(w[i:i + k - 1], 'string_agg', ' ') AS g FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM t) WHERE len(w) >= k)
+), hit AS (
+  SELECT dg.r, dg.p, dg.g, tg.template, tg.k, tg.step, 2 * tg.size - tg.k + 1 AS wide FROM dg JOIN tg ON tg.k = dg.k AND tg.g = dg.g
+), win AS (
+  SELECT r, template, k, s, count(DISTINCT g) AS held, min(p) AS first, max(p) AS last
+  FROM (SELECT *, unnest(range(greatest(0, CAST(ceil((p - wide + 1) / step::DOUBLE) AS BIGINT)), p // step + 1)) * step AS s FROM hit) GROUP BY ALL
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY r, template ORDER BY held DESC, s) AS rank FROM win
+)
+SELECT d.doc_id, best.template, best.first AS first_word, best.last - best.first + best.k AS n_words, round(best.held / tn.n::DOUBLE, 6) AS containment
+FROM best JOIN tn USING (template) JOIN d USING (r) WHERE rank = 1 AND best.held >= 0.8 * tn.n - 1e-9
+"""
+)

@@ -212,3 +212,34 @@ def dedup(docs: DataFrame, min_chars: int | None = None, names: tuple[str, str]
 
 def op9_line_dedup(spark, sf_dir) -> DataFrame:
     return dedup(shared.documents(spark, sf_dir), names=("n_lines", "n_removed")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+#: Lines within one edit share their first or their last half; the edit is found behind their common beginning.
+OP9_SQL = r"""
+WITH l AS (
+  SELECT coalesce(doc_id, -9223372036854775808) AS doc, doc_id, no, parts[no + 1] AS line
+  FROM (SELECT doc_id, parts, unnest(range(0, len(parts))) AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))
+), w AS (
+  SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), c AS (
+  SELECT line, min((doc, no)) AS first, length(line) AS n FROM w GROUP BY line
+), k AS (
+  SELECT line, first, n, m, m // 2 AS h FROM (SELECT *, unnest([n, n - 1]) AS m FROM c WHERE n >= %d)
+), keyed AS (
+  SELECT line, first, n, m, 0 AS side, substr(line, 1, h) AS half FROM k
+  UNION ALL SELECT line, first, n, m, 1, right(line, m - h) FROM k
+), pair AS (
+  SELECT DISTINCT a.line AS line, a.first, b.line AS other, b.first AS before
+  FROM keyed a JOIN keyed b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND b.first < a.first AND (a.n = b.n AND a.n = a.m OR abs(a.n - b.n) = 1)
+), far AS (
+  SELECT *, list_position(list_transform(range(1, least(length(line), length(other)) + 1), lambda i: line[i] = other[i]), false) AS p FROM pair
+), near AS (
+  SELECT DISTINCT line FROM far WHERE p IS NULL OR p = 0 OR substr(line, p + CASE WHEN length(line) >= length(other) THEN 1 ELSE 0 END) = substr(other, p + CASE WHEN length(other) >= length(line) THEN 1 ELSE 0 END)
+), v AS (
+  SELECT l.doc_id, l.no, l.line, w.line IS NOT NULL AS worded, w.line IS NOT NULL AND ((l.doc, l.no) > c.first OR near.line IS NOT NULL) AS gone
+  FROM l LEFT JOIN w ON w.doc = l.doc AND w.no = l.no LEFT JOIN c ON c.line = w.line LEFT JOIN near ON near.line = w.line
+), t AS (
+  SELECT doc_id, count(*) FILTER (worded) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '') AS text FROM v GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(t.n_lines, 0) AS n_lines, coalesce(t.n_removed, 0) AS n_removed, t.text FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id
+""" % MIN_CHARS

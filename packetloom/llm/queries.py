@@ -10,4 +10,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_ngram_jaccard_join": ngram_join.OP6_SQL, "op2_quality_rules": quality_rules.OP2_SQL}
+    return {
+        "op2_quality_rules": quality_rules.OP2_SQL,
+        "op4_benchmark_decontamination": decontaminate.OP4_SQL,
+        "op6_ngram_jaccard_join": ngram_join.OP6_SQL,
+        "op8_suffix_array_dedup": suffix_dedup.OP8_SQL,
+        "op9_line_dedup": line_dedup.OP9_SQL,
+        "op10_license_scan": license_scan.OP10_SQL,
+    }

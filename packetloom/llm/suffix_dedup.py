@@ -327,3 +327,31 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def op8_suffix_array_dedup(spark, sf_dir) -> DataFrame:
     return dedup(shared.documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: Every string of 200 bytes by its MD5 number.
+OP8_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), s AS (
+  SELECT r, i, md5_number(b[i + 1:i + 200]) AS h FROM (SELECT r, b, unnest(range(0, octet_length(b) - 199)) AS i FROM d WHERE octet_length(b) >= 200)
+), again AS (
+  SELECT h FROM s GROUP BY h HAVING count(*) > 1
+), hit AS (
+  SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM s WHERE h IN (SELECT h FROM again)
+), run AS (
+  SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g FROM hit
+), span AS (
+  SELECT r, min(i) AS x, max(i) + 200 AS y FROM run GROUP BY r, g
+), kept AS (
+  SELECT r, lag(y, 1, 0) OVER w AS x, x AS y FROM span WINDOW w AS (PARTITION BY r ORDER BY x)
+  UNION ALL SELECT r, max(y), NULL FROM span GROUP BY r
+), cut AS (
+  SELECT d.r, string_agg(hex(CASE WHEN k.y IS NULL THEN d.b[k.x + 1:octet_length(d.b)] ELSE d.b[k.x + 1:k.y] END), '' ORDER BY k.x) AS left_hex FROM kept k JOIN d USING (r) WHERE k.x < coalesce(k.y, octet_length(d.b)) GROUP BY d.r
+), n AS (
+  SELECT r, CAST(sum(y - x) AS BIGINT) AS n_removed, count(*) AS n_spans FROM span GROUP BY r
+)
+SELECT d.doc_id, octet_length(d.b) AS n_bytes, coalesce(n.n_removed, 0) AS n_removed, coalesce(n.n_spans, 0) AS n_spans,
+  CASE WHEN n.r IS NULL THEN sha256(d.b) ELSE sha256(unhex(coalesce(cut.left_hex, ''))) END AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN cut USING (r)
+"""
