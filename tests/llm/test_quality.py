@@ -58,3 +58,41 @@ def test_rank(spark):
     none = qr.train(docs, labels.limit(0))
     assert {r.score for r in qr.score(docs, none).collect()} == {0.5}
     assert qr.score(docs.limit(0), model).count() == 0
+
+
+def test_fit_against_plain_python():
+    """The same preferences and steps, one pair at a time."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(40, 3)).astype(np.float32)
+    good = x[:, 0] + 0.3 * rng.normal(size=40) > 0
+    pairs, steps, ridge = 300, 40, 1e-3
+    got = qr.fit(x, good, pairs, steps, ridge, seed=5)
+    mean, sd = x.mean(0), x.std(0)
+    z = [[float(np.clip((v - m) / s, -8, 8)) for v, m, s in zip(row, mean, sd)] for row in x]
+    draw = np.random.default_rng(5)
+    i, j = draw.choice(np.flatnonzero(good), pairs).tolist(), draw.choice(np.flatnonzero(~good), pairs).tolist()
+    rate = 4.0 / max(1.0, sum(v * v for row in z for v in row) / len(z))
+    w, v = [0.0] * 3, [0.0] * 3
+    for step in range(steps):
+        pull = [0.0] * 3
+        for a, b in zip(i, j):
+            gap = sum(c * (p - q) for c, p, q in zip(v, z[a], z[b]))
+            miss = 1 / (1 + np.exp(gap))
+            pull = [u + miss * (p - q) for u, p, q in zip(pull, z[a], z[b])]
+        new = [c + rate * (u / pairs - ridge * c) for c, u in zip(v, pull)]
+        v, w = [n + step / (step + 3) * (n - o) for n, o in zip(new, w)], new
+    assert np.allclose(got["w"], w, rtol=2e-3, atol=2e-3)
+    s = [sum(c * p for c, p in zip(got["w"], row)) for row in z]
+    errors = lambda cut: sum(y < cut for y, g in zip(s, good) if g) / good.sum() + sum(y >= cut for y, g in zip(s, good) if not g) / (~good).sum()
+    assert errors(got["cut"]) <= min(errors(c) for c in s) + 1e-9
+    assert np.allclose([qr.predict(got, x[k : k + 1])[0] >= 0.5 for k in range(40)], [y >= got["cut"] for y in s])
+
+
+def test_repeated_rows_long_texts_and_clashing_names(spark):
+    long = "A word, and another. " * 60_000
+    docs = spark.createDataFrame([(-1, long, 1, 2), (-1, long, 1, 2), (3, "x", 3, 4)], "doc_id long, text string, _text int, _score int")
+    model = qr.train(docs, spark.createDataFrame([(-1, 1), (3, 0)], "doc_id long, quality int"))
+    kept = qr.score(docs, model, keep="mark")
+    assert kept.columns == [*docs.columns, "mark"] and sorted(tuple(r)[2:4] for r in kept.collect()) == [(1, 2), (1, 2), (3, 4)]
+    led = rules.ledger(docs).collect()
+    assert sorted(r.n_words for r in led) == [1, 240_000, 240_000]
