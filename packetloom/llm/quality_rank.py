@@ -125,22 +125,20 @@ def score(docs: DataFrame, model: dict, keep: str | None = None) -> DataFrame:
     """doc_id and score of every row; with keep, all columns of docs and the score under that name, which
     none of them may have."""
     shared.ship(docs.sparkSession)
-    name, (whole,) = keep or "score", shared.fresh(docs, "text")
-    own = docs if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = own.withColumn(whole, F.col("text").cast("string"))
-    own = own if keep else own.drop("text")
-    held = [f for f in own.schema if f.name != whole]
-    kind = T.StructType([*(T.StructField(f.name, f.dataType) for f in held), T.StructField(name, T.DoubleType())])
+    name = keep or "score"
+    text = F.col("text").cast("string")
+    own = docs.select(text, *shared.columns(docs)) if keep else docs.select(text, F.col("doc_id").cast("long").alias("doc_id"))
+    held = own.schema[1:]
+    own = own.toDF(*(f"c{i}" for i in range(len(own.columns))))  # whatever their names
+    kind = T.StructType([*(T.StructField(f"c{i}", f.dataType) for i, f in enumerate(held, 1)), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index(whole)
-            data, offs = tb.buffers(batch.column(at))
+            data, offs = tb.buffers(batch.column(0))
             got = [predict(model, features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])) for i, j in tb.row_slices(offs)]
-            cols = [batch.column(k) for k in range(batch.num_columns) if k != at]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(got) if got else np.empty(0))], [*(f.name for f in held), name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(got) if got else np.empty(0))], kind.fieldNames())
 
-    return own.mapInArrow(run, kind)
+    return own.mapInArrow(run, kind).toDF(*(f.name for f in held), name)
 
 
 def op3_quality_classifier(spark, sf_dir) -> DataFrame:
